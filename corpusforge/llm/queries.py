@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe, langid, quality
+from corpusforge.llm import bpe, hmm, langid, mih, mixing, quality, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,23 @@ def fold(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), fold(10) == 0)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), (5, 2, 1)).drop("copies")
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = table(spark, sf_dir, "embeddings").select("vec_id", mih.sign_code(F.col("embedding")).alias("code"))
+    return mih.topk(coded, coded.where(F.col("vec_id") % 100 == 0), 10)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,9 +53,24 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hmm": op1_hmm,
+    "op2_secrets": op2_secrets,
+    "op3_mixing": op3_mixing,
+    "op7_topk": op7_topk,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_topk": """
+        WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 100 = 0),
+        d AS (
+            SELECT query_id, vec_id,
+                   CAST(list_sum(list_transform(range(1, 65), lambda i: CAST((q.a[i] > 0) <> (e.embedding[i] > 0) AS INTEGER))) AS INTEGER) AS distance
+            FROM q JOIN embeddings e ON e.vec_id <> q.query_id
+        )
+        SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank
+        FROM d QUALIFY rank <= 10
+    """,
+}
