@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe, hmm, langid, mih, mixing, quality, secret_scan
+from corpusforge.llm import bpe, hmm, jaccard, langid, mih, mixing, quality, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), (5, 2, 1)).drop("copies")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = table(spark, sf_dir, "embeddings").select("vec_id", mih.sign_code(F.col("embedding")).alias("code"))
     return mih.topk(coded, coded.where(F.col("vec_id") % 100 == 0), 10)
@@ -56,6 +60,7 @@ QUERIES = {
     "op1_hmm": op1_hmm,
     "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
+    "op5_jaccard": op5_jaccard,
     "op7_topk": op7_topk,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
