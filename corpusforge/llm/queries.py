@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe, hmm, jaccard, langid, mih, mixing, quality, secret_scan
+from corpusforge.llm import bpe, hmm, jaccard, langid, mih, mixing, nndescent, quality, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), (5, 2, 1)).drop("copies")
 
 
+def op4_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 4, 85)
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_hmm": op1_hmm,
     "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
+    "op4_nndescent": op4_nndescent,
     "op5_jaccard": op5_jaccard,
     "op7_topk": op7_topk,
     "op8_bpe": op8_bpe,
