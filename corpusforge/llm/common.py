@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -172,3 +173,9 @@ def unique_by_doc(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.n
     keep = np.ones(len(v), bool)
     keep[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
     return v[keep], d[keep]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames nobody refers to any more, instead of when the driver happens to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe, hmm, jaccard, langid, mih, mixing, nndescent, quality, secret_scan
+from corpusforge.llm import bpe, hmm, jaccard, langid, mih, mixing, nndescent, quality, secret_scan, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 4, 85)
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicate(table(spark, sf_dir, "documents"), 400)
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = table(spark, sf_dir, "embeddings").select("vec_id", mih.sign_code(F.col("embedding")).alias("code"))
     return mih.topk(coded, coded.where(F.col("vec_id") % 100 == 0), 10)
@@ -66,6 +70,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_nndescent": op4_nndescent,
     "op5_jaccard": op5_jaccard,
+    "op6_suffix": op6_suffix,
     "op7_topk": op7_topk,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
