@@ -45,7 +45,8 @@ def topk(index: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, segm
         masks = [sum(1 << i for i in c) for c in combinations(range(width), r)]
         probe = active.select("q", F.explode(F.lit(masks)).alias("mask"))
         probe = probe.select("q", F.explode(F.array(*[F.struct(F.lit(j).alias("seg"), segment(F.col("q"), j, width).bitwiseXOR(F.col("mask").cast("int")).alias("val")) for j in range(segments)])).alias("s")).select("q", "s.*")
-        new = probe.join(entries, ["seg", "val"]).select("q", "code", "n", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
+        # the probes' size is known only after they are made: never broadcast them on the estimate
+        new = probe.join(entries.hint("merge"), ["seg", "val"]).select("q", "code", "n", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
         both = (new if found is None else new.unionByName(found)).distinct()
         nearer = Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
         found = materialise(both.withColumn("closer", F.coalesce(F.sum("n").over(nearer), F.lit(0))).where(F.col("closer") <= k).drop("closer"))
