@@ -1 +1,273 @@
-"""stub"""
+"""Analytics: mixture and budgets, packing, curriculum, evaluation metrics, lexicon statistics, quota and run logs.
+
+SQL that both engines read is stated once; tables stand in braces.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusforge.functions import resources as R
+from corpusforge.plans.registry import query, sql, table
+
+B = "BIGINT"
+
+
+def both(name: str, text: str, **swap: tuple[str, str]) -> None:
+    """One SQL text with $name parts that differ: (Spark, DuckDB)."""
+    spark_sql, duck = text, text
+    for k, (s, d) in swap.items():
+        spark_sql, duck = spark_sql.replace(f"${k}", s), duck.replace(f"${k}", d)
+    sql(name, spark_sql, duck)
+
+
+# --- splits, budgets and mixtures --------------------------------------------------------------------------------------
+
+both(
+    "token_budget_by_source",
+    """
+    SELECT source, CAST(count(*) AS BIGINT) AS docs, CAST(sum(tok) AS BIGINT) AS tokens FROM (
+        SELECT source, tok, coalesce(sum(tok) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM (SELECT source, doc_id, CAST(floor(n_chars / 5 * 1.35) AS BIGINT) AS tok FROM {documents})
+    ) WHERE before < 15000 GROUP BY source
+    """,
+)
+both(
+    "byte_mixture_sample",
+    """
+    SELECT doc_id, lang FROM (
+        SELECT doc_id, lang, coalesce(sum(b) OVER (PARTITION BY lang ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM (SELECT doc_id, lang, $bytes AS b, md5(concat('7|', CAST(doc_id AS $str))) AS h FROM {documents})
+    ) WHERE before < 1000000 * CASE lang WHEN 'en' THEN 0.4 WHEN 'fr' THEN 0.2 WHEN 'de' THEN 0.2 ELSE 0.1 END
+    """,
+    bytes=("octet_length(text)", "strlen(text)"),
+    str=("STRING", "VARCHAR"),
+)
+both("pool_reassign", "SELECT pool, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN lang <> 'en' THEN lang WHEN n_chars % 5 >= 2 THEN 'genz' ELSE 'internet' END AS pool FROM {documents}) GROUP BY pool")
+both("tokens_by_pool", "SELECT lang, CAST(sum(tok) AS BIGINT) AS tokens, round(1e2 * sum(tok) / sum(sum(tok)) OVER (), 6) AS share FROM (SELECT lang, CAST(floor(n_chars * 1.35) AS BIGINT) AS tok FROM {documents}) GROUP BY lang")
+both("modulo_fanout", "SELECT CAST(doc_id % 7 AS BIGINT) AS shard, CAST(count(*) AS BIGINT) AS n FROM {documents} GROUP BY doc_id % 7")
+both(
+    "curriculum_quota",
+    """
+    WITH n AS (SELECT lang, count(*) AS n FROM {documents} GROUP BY lang),
+    s AS (SELECT 0 AS ord, 'S1' AS stage, 0.667 AS share UNION ALL SELECT 1, 'S2', 0.3 UNION ALL SELECT 2, 'S3', 0.033),
+    w AS (SELECT lang, ord, stage, n, CAST(floor(floor(n * CAST(share AS DOUBLE)) * 0.9) AS BIGINT) AS want FROM n CROSS JOIN s)
+    SELECT lang, stage, CAST(least(want, greatest(n - coalesce(sum(want) OVER (PARTITION BY lang ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS BIGINT) AS quota FROM w
+    """,
+)
+both(
+    "stage_assignment",
+    """
+    SELECT stage, lang, CAST(count(*) AS BIGINT) AS docs FROM (
+        SELECT lang, CASE WHEN r <= floor(n * 0.6) THEN 'S1' WHEN r <= floor(n * 0.9) THEN 'S2' ELSE 'S3' END AS stage
+        FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM {documents})
+    ) GROUP BY stage, lang
+    """,
+)
+both("shard_boundaries", "SELECT doc_id, CAST(floor((sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) - 1) / 50000) AS BIGINT) AS shard FROM {documents}")
+both(
+    "packed_windows",
+    """
+    SELECT lang, CAST(floor((total - 1) / 512) AS BIGINT) AS windows, CAST(total - floor((total - 1) / 512) * 512 AS BIGINT) AS tail
+    FROM (SELECT lang, sum(n_chars + 1) AS total FROM {documents} GROUP BY lang)
+    """,
+)
+both(
+    "document_ids",
+    """
+    SELECT doc_id, CAST(floor(s / 4096) AS BIGINT) AS win, CAST(row_number() OVER (PARTITION BY lang, floor(s / 4096) ORDER BY s) - 1 AS BIGINT) AS id_in_window
+    FROM (SELECT doc_id, lang, coalesce(sum(n_chars + 1) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM {documents})
+    """,
+)
+both("round_robin_pick", "SELECT doc_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat('r', CAST(doc_id AS $str)))) AS r FROM {documents}) ORDER BY r, source LIMIT 55", str=("STRING", "VARCHAR"))
+both(
+    "manifest_order",
+    "SELECT source, CAST(row_number() OVER (ORDER BY st, source) AS BIGINT) AS pos FROM (SELECT DISTINCT source, CASE WHEN source < 'src13' THEN 1 WHEN source < 'src2' THEN 2 ELSE 9 END AS st FROM {documents})",
+)
+both(
+    "balanced_class_sample",
+    """
+    SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(concat('11|', CAST(doc_id AS $str)))) AS r FROM {labels}) WHERE r <= 30
+    """,
+    str=("STRING", "VARCHAR"),
+)
+both("stratified_sample", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS $str))) AS r FROM {documents} WHERE n_chars BETWEEN 40 AND 600) WHERE r <= 12", str=("STRING", "VARCHAR"))
+both(
+    "stage_run_shuffle",
+    """
+    SELECT event_id, CAST(island AS BIGINT) AS island, CAST(row_number() OVER (PARTITION BY island ORDER BY md5(concat('3|', CAST(event_id AS $str)))) AS BIGINT) AS pos FROM (
+        SELECT event_id, sum(CASE WHEN event_type = prev THEN 0 ELSE 1 END) OVER (ORDER BY event_id) AS island
+        FROM (SELECT event_id, event_type, lag(event_type) OVER (ORDER BY event_id) AS prev FROM {events} WHERE user_id = 7))
+    """,
+    str=("STRING", "VARCHAR"),
+)
+
+# --- schedules -----------------------------------------------------------------------------------------------------------
+
+both(
+    "lr_schedule_wsd",
+    """
+    SELECT CAST(s AS BIGINT) AS step, CASE WHEN s < 20 THEN 'warmup' WHEN s < 150 THEN 'stable' ELSE 'decay' END AS phase,
+           round(CASE WHEN s < 20 THEN 0.001 * (s + 1) / 20 WHEN s < 150 THEN 0.001 ELSE 0.0001 + 0.0009 * (1 - sqrt(least((s - 150) / 50.0, 1.0))) END, 9) AS one_minus_sqrt,
+           round(CASE WHEN s < 20 THEN 0.001 * (s + 1) / 20 WHEN s < 150 THEN 0.001 ELSE 0.0001 + 0.0009 * (1 - least((s - 150) / 50.0, 1.0)) END, 9) AS linear,
+           round(CASE WHEN s < 20 THEN 0.001 * (s + 1) / 20 WHEN s < 150 THEN 0.001 ELSE 0.0001 + 0.0009 * 0.5 * (1 + cos(pi() * least((s - 150) / 50.0, 1.0))) END, 9) AS cosine
+    FROM (SELECT CAST(s AS DOUBLE) AS s FROM $steps)
+    """,
+    steps=("(SELECT explode(sequence(0, 219)) AS s)", "(SELECT unnest(range(220)) AS s)"),
+)
+both("curriculum_boundaries", "SELECT stage, CAST(floor(f * 25757) AS BIGINT) AS until_step FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS stage, CAST({f} AS DOUBLE) AS f" for s, f, _ in R.CURRICULUM) + ") t")
+both("stage_of_step", "SELECT CAST(floor(event_id / 100) AS BIGINT) AS block, min(CASE WHEN event_id / 10000.0 < 0.667 THEN 'S1' WHEN event_id / 10000.0 < 0.967 THEN 'S2' ELSE 'S3' END) AS stage FROM {events} GROUP BY floor(event_id / 100)")
+
+# --- lexicon (event type and user stand for a term, value for a score) -------------------------------------------------
+
+_TERM = "concat(event_type, '_', CAST(user_id AS $str))"
+both(
+    "lexicon_aggregate",
+    f"""
+    SELECT term, CAST(max(c) AS BIGINT) AS n_defs, min(d) AS first_seen, max(d) AS last_seen, max(CASE WHEN r = floor(c / 2) + 1 THEN value END) AS upper_median, max(CASE WHEN best = 1 THEN event_id END) AS best_definition
+    FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY term) AS c, row_number() OVER (PARTITION BY term ORDER BY value DESC, event_id) AS best
+          FROM (SELECT {_TERM} AS term, value, event_id, CAST(ts AS DATE) AS d FROM {{events}}))
+    GROUP BY term
+    """,
+    str=("STRING", "VARCHAR"),
+)
+_AGE = "greatest($days, 0) / 365.25"
+both(
+    "recency_status",
+    f"""
+    SELECT event_id, round(pow(2, -y / 3), 4) AS recency, CASE WHEN y <= 4 THEN 'current' WHEN y <= 8 THEN 'aging' ELSE 'dead' END AS status,
+           round((CASE WHEN y <= 4 THEN 1.0 WHEN y <= 8 THEN 0.5 ELSE 0.0 END) * (0.5 + 0.5 * round(pow(2, -y / 3), 4)), 6) AS weight
+    FROM (SELECT event_id, {_AGE} AS y FROM (SELECT event_id, CAST(ts AS DATE) AS d, user_id FROM {{events}}))
+    """,
+    days=("(datediff(DATE'2024-06-01', d) + user_id * 40)", "(date_diff('day', d, DATE '2024-06-01') + user_id * 40)"),
+)
+both(
+    "lexicon_merge_upsert",
+    f"""
+    WITH l AS (SELECT {_TERM} AS term, round(avg(value), 4) AS recency FROM {{events}} WHERE user_id < 20 GROUP BY {_TERM}),
+    c AS (SELECT 'click_1' AS term UNION ALL SELECT 'view_3' UNION ALL SELECT 'rizz')
+    SELECT coalesce(l.term, c.term) AS term, CASE WHEN c.term IS NOT NULL THEN 'current' ELSE 'aging' END AS status,
+           CASE WHEN c.term IS NULL THEN l.recency WHEN l.term IS NULL THEN 0.85 ELSE greatest(l.recency, 0.8) END AS recency
+    FROM l FULL OUTER JOIN c ON l.term = c.term
+    """,
+    str=("STRING", "VARCHAR"),
+)
+both("rate_per_million", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(count(*) * 1e6 / sum(count(*)) OVER (), 3) AS rate FROM {events} GROUP BY event_type")
+both("lexicon_stats_rollup", "SELECT coalesce(status, 'all') AS status, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN value < 20 THEN 'dead' WHEN value < 60 THEN 'aging' ELSE 'current' END AS status FROM {events}) GROUP BY ROLLUP (status)")
+both("year_histogram", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, CAST(count(*) AS BIGINT) AS n FROM {orders} GROUP BY year(o_orderdate)")
+both(
+    "initialism_filter",
+    "SELECT p_partkey, substring(lower(p_name), 1, 1) = substring(lower(p_type), 1, 1) AS reproduces, length(replace(p_name, ' ', '')) <= 6 AS is_short FROM {part}",
+)
+both(
+    "distractor_topk",
+    """
+    SELECT target, other, CAST(r AS BIGINT) AS place FROM (
+        SELECT a.p_partkey AS target, b.p_partkey AS other, row_number() OVER (PARTITION BY a.p_partkey ORDER BY abs(length(a.p_name) - length(b.p_name)), abs(a.p_size - b.p_size), b.p_partkey) AS r
+        FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND abs(length(a.p_name) - length(b.p_name)) <= 3
+    ) WHERE r <= 3
+    """,
+)
+
+# --- evaluation ------------------------------------------------------------------------------------------------------------
+
+_PAIRS = "(SELECT u.conv_id, u.turn, length(u.text) AS a, length(v.text) AS b FROM {conversations} u JOIN {conversations} v ON u.conv_id = v.conv_id AND v.turn = u.turn + 1 WHERE u.role = 'user')"
+both("rce_by_dim", f"SELECT round(avg(abs(least(floor(a / 100), 4) - least(floor(b / 100), 4))), 6) AS length_rce, round(avg(abs(a % 3 - b % 3)), 6) AS other_rce FROM {_PAIRS} t")
+both("context_adaptation_pearson", f"SELECT CAST(count(*) AS BIGINT) AS n, round(corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)), 6) AS r FROM {_PAIRS} t")
+both(
+    "spearman_quality_length",
+    """
+    SELECT round(corr(ra, rb), 6) AS rho, round(avg(CASE WHEN quality = toxic THEN 1e0 ELSE 0e0 END), 6) AS exact, round(avg(CASE WHEN abs(quality - toxic) <= 1 THEN 1e0 ELSE 0e0 END), 6) AS within_one, round(avg(CAST(quality - toxic AS DOUBLE)), 6) AS bias FROM (
+        SELECT quality, toxic, rank() OVER (ORDER BY quality) + (count(*) OVER (PARTITION BY quality) - 1) / 2.0 AS ra, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS rb
+        FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id)
+    """,
+)
+both(
+    "wasserstein_1d",
+    """
+    WITH a AS (SELECT n_chars AS x, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS i FROM {documents} WHERE lang = 'fr'),
+    b AS (SELECT n_chars AS x, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS i FROM {documents} WHERE lang = 'de'),
+    k AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb),
+    q AS (SELECT CAST(i AS BIGINT) AS i, na, nb, greatest(na, nb) AS n FROM $grid)
+    SELECT round(avg(abs(a.x - b.x)), 6) AS w1 FROM q JOIN a ON a.i = least(floor(q.i * na / n), na - 1) JOIN b ON b.i = least(floor(q.i * nb / n), nb - 1)
+    """,
+    grid=("(SELECT explode(sequence(0, greatest(na, nb) - 1)) AS i, na, nb FROM k)", "(SELECT unnest(range(greatest(na, nb))) AS i, na, nb FROM k)"),
+)
+both("type_token_ratio", "SELECT lang, round(count(DISTINCT w) / count(*), 6) AS ttr FROM (SELECT lang, $words AS w FROM {documents}) GROUP BY lang", words=("explode(split(text, ' '))", "unnest(string_split(text, ' '))"))
+both("freshness_median", "SELECT round($median, 6) AS median_year, CAST(count(*) AS BIGINT) AS hits, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1e0 ELSE 0e0 END), 6) AS frac_f FROM {orders}", median=("percentile(year(o_orderdate), 0.5)", "quantile_cont(year(o_orderdate), 0.5)"))
+both("formal_leakage", "SELECT round(avg(d), 6) AS mean_density, round(avg(CASE WHEN d = 0 THEN 1e0 ELSE 0e0 END), 6) AS frac_zero FROM (SELECT 1e2 * (length(text) - length(replace(text, '!', ''))) / length(text) AS d FROM {documents})")
+both("mcq_accuracy_rollup", "SELECT coalesce(lang, 'all') AS status, round(avg(CASE WHEN (n_chars > 300) = (quality = 1) THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id GROUP BY ROLLUP (lang)")
+both("content_hash", "SELECT item_id, $h AS h FROM {benchmark}", h=("left(sha2(concat('{{\"id\": ', CAST(item_id AS STRING), ', \"prompt\": ', text, '}}'), 256), 16)", "left(sha256(concat('{{\"id\": ', CAST(item_id AS VARCHAR), ', \"prompt\": ', text, '}}')), 16)"))
+both("props_json_extract", "SELECT event_id, CAST($k AS BIGINT) AS k FROM {events}", k=("get_json_object(props, '$.k')", "json_extract_string(props, '$.k')"))
+
+# --- quota, dispatches and runs (events as dispatches) ----------------------------------------------------------------------
+
+_WEEK = "date_trunc('week', ts)"
+both("quota_used_remaining", f"SELECT CAST({_WEEK} AS DATE) AS week, event_type, round(sum(least(value, 50)), 4) AS used, round(greatest(30000 * 0.9 - sum(least(value, 50)), 0), 4) AS remaining FROM {{events}} GROUP BY CAST({_WEEK} AS DATE), event_type")
+both(
+    "quota_since_reading",
+    """
+    WITH r AS (SELECT user_id, max(ts) AS at FROM {events} WHERE event_type = 'signup' GROUP BY user_id)
+    SELECT e.user_id, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS used FROM {events} e LEFT JOIN r ON e.user_id = r.user_id WHERE r.at IS NULL OR e.ts >= r.at GROUP BY e.user_id
+    """,
+)
+both("latest_open_dispatch", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM {events} WHERE event_type <> 'error') WHERE r = 1")
+both("close_stale", "SELECT CASE WHEN ts < $t THEN 'closed' ELSE 'running' END AS status, CAST(count(*) AS BIGINT) AS n FROM {events} GROUP BY CASE WHEN ts < $t THEN 'closed' ELSE 'running' END", t=("TIMESTAMP_NTZ'2024-01-20 00:00:00'", "TIMESTAMP '2024-01-20 00:00:00'"))
+both("stall_detection", "SELECT user_id, max(event_type) AS last_type, round(sum(value) / 3600, 6) AS wasted FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM {events}) WHERE r <= 3 GROUP BY user_id HAVING count(DISTINCT event_type) = 1 AND count(*) = 3")
+both("metrics_downsample", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM {events}) WHERE r % (CAST(floor(n / 100) AS BIGINT) + 1) = 0")
+both("session_efficiency", "SELECT user_id, round(avg(CASE WHEN value > 0 THEN least(value / 50, 1) END), 6) AS efficiency FROM {events} GROUP BY user_id")
+both(
+    "loss_divergence_windows",
+    """
+    SELECT event_type, CAST(sum(CASE WHEN n = 50 AND newer > 1.5 * older THEN 1 ELSE 0 END) AS BIGINT) AS diverged, round(max(newer), 6) AS worst FROM (
+        SELECT event_type, avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS newer,
+               avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND 25 PRECEDING) AS older,
+               count(*) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS n
+        FROM {events}) GROUP BY event_type
+    """,
+)
+both("progress_eta", "SELECT round(sum(value), 4) AS tokens, round(1e2 * sum(value) / 1000000, 6) AS pct, round((1000000 - sum(value)) / (sum(value) / 30), 6) AS days_left, CASE WHEN sum(value) / 1000 < 10 THEN 'starved' WHEN sum(value) / 1000 < 20 THEN 'low' ELSE 'fine' END AS verdict FROM {events}")
+both("perplexity", "SELECT event_type, round(exp(least(avg(value) / 10, 20)), 6) AS ppl FROM {events} GROUP BY event_type")
+both("platform_rank", "SELECT event_type, CAST(row_number() OVER (ORDER BY sum(value) DESC, event_type) AS BIGINT) AS place FROM {events} WHERE event_type <> 'error' GROUP BY event_type")
+both("redact_secret_tail", "SELECT event_id, concat(left(md5(props), 6), '…', right(md5(props), 4)) AS shown FROM {events}")
+
+
+@query()
+def grad_spike_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spikes against the median of the last 100 accepted values; a spike isn't accepted, so the state is sequential in each key."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        kept: list[float] = []
+        spikes = 0
+        for v in g.sort_values("event_id")["value"]:
+            recent = sorted(kept[-100:])
+            if len(recent) >= 20 and v > 10 * recent[len(recent) // 2]:
+                spikes += 1
+            else:
+                kept.append(v)
+        return pd.DataFrame({"user_id": [g["user_id"].iloc[0]], "spikes": [spikes]})
+
+    return table(spark, sf_dir, "events").select("user_id", "event_id", "value").groupBy("user_id").applyInPandas(run, "user_id bigint, spikes bigint")
+
+
+@query()
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """95% interval of a mean by Poisson bootstrap: each task sends sums a resample, never rows."""
+    resamples = 400
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, weight = np.zeros(resamples), np.zeros(resamples)
+        for b in batches:
+            for i, x in zip(b["doc_id"], b["n_chars"], strict=True):
+                w = np.random.default_rng([5, int(i)]).poisson(1.0, resamples)
+                total += w * float(x)
+                weight += w
+        yield pd.DataFrame({"r": np.arange(resamples), "s": total, "w": weight})
+
+    sums = table(spark, sf_dir, "documents").select("doc_id", "n_chars").mapInPandas(run, "r int, s double, w double").groupBy("r").agg((F.sum("s") / F.sum("w")).alias("m"))
+    return sums.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
