@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.plans.registry import query, table
@@ -21,7 +21,7 @@ def run_stream(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], Da
     return spark.table(name)
 
 
-def _naive(c: str) -> F.Column:
+def _naive(c: str) -> Column:
     return F.col(c).cast("timestamp_ntz")
 
 
