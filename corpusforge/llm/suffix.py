@@ -62,6 +62,7 @@ class SuffixFamily:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.levels: list[tuple[int, DataFrame, str]] = []
+        self.found: list[str] = []
 
     def write(self, suffixes: DataFrame) -> tuple[DataFrame, str]:
         folder = shared_dir(self.spark)
@@ -79,7 +80,8 @@ class SuffixFamily:
         for _, old, _ in self.levels:
             found = found.unionByName(level.select("f").join(old.select("f"), "f", "left_semi"))
         self.levels.append((1, level, folder))
-        return materialise(found)
+        self.found.append(shared_dir(self.spark))
+        return materialise(found, self.found[-1])
 
     def drop(self) -> None:
         for _, _, folder in self.levels:
@@ -109,13 +111,17 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
     for i in range(batches):
         new = family.add(entries.where(F.pmod(F.xxhash64("th"), F.lit(batches)) == i).select("f"))
         hits = new if hits is None else hits.unionByName(new)
-    hits = materialise(hits.distinct())
+    hits_at, matched_at, same_at, singles_at = (shared_dir(spark) for _ in range(4))
+    hits = materialise(hits.distinct(), hits_at)
     family.drop()
     release(spark)
-    matched = materialise(entries.join(hits, "f", "left_semi"))
-    remove(spark, entries_at)
+    matched = materialise(entries.join(hits, "f", "left_semi"), matched_at)
+    del new, hits
+    for folder in (entries_at, hits_at, *family.found):
+        remove(spark, folder)
+    release(spark)
+    same = materialise(matched.groupBy("f", "g").agg(F.count("*").alias("c"), F.min(F.struct("th", "id", "low", "n")).alias("one")), same_at)
     release(spark)
-    same = materialise(matched.groupBy("f", "g").agg(F.count("*").alias("c"), F.min(F.struct("th", "id", "low", "n")).alias("one")))
     # where some suffix's windows aren't all repeated with it, one of each kind stands for those that are
     open_f = same.groupBy("f").agg(F.min("c").alias("least"), F.count("*").alias("kinds")).where((F.col("least") == 1) & (F.col("kinds") > 1)).select("f")
     edges = same.join(open_f, "f", "left_semi").select("one.id", "one.th", F.struct(F.col("one.low").alias("low"), F.col("one.n").alias("n"), F.least("c", F.lit(2)).alias("w")).alias("e"))
@@ -134,12 +140,20 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(at), pa.array(np.repeat(w, n), pa.int64()), pa.array(span_hash(h, i, i + length).view(np.int64))], ["id", "th", "at", "w", "h"])
 
     near = rows.join(edges.withColumnsRenamed({"id": "id2", "th": "th2"}), F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")))
-    singles = materialise(near.select("id", "th", "text", "edges").mapInArrow(windows, f"id {id_type}, th bigint, at bigint, w bigint, h bigint").distinct())
+    # rows that are equal in id and text give their windows twice, but those have weight 2 anyway
+    singles = materialise(near.select("id", "th", "text", "edges").mapInArrow(windows, f"id {id_type}, th bigint, at bigint, w bigint, h bigint"), singles_at)
     release(spark)
     twice = singles.groupBy("h").agg(F.sum("w").alias("w")).where(F.col("w") > 1).select("h")
-    one = singles.join(twice, "h", "left_semi").select("id", "th", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
-    many = matched.join(same.where(F.col("c") > 1).select("f", "g"), ["f", "g"], "left_semi").select("id", "th", F.col("low").alias("s"), (F.col("low") + F.col("n") - 1 + length).alias("e"))
-    return materialise(one.unionByName(many).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    one = materialise(singles.join(twice, "h", "left_semi").groupBy("id", "th").agg(F.collect_list("at").alias("at")))
+    remove(spark, singles_at)
+    release(spark)
+    many = matched.join(same.where(F.col("c") > 1).select("f", "g"), ["f", "g"], "left_semi")
+    many = materialise(many.groupBy("id", "th").agg(F.collect_list(F.struct(F.col("low").alias("s"), (F.col("low") + F.col("n") - 1 + length).alias("e"))).alias("spans")))
+    remove(spark, matched_at)
+    remove(spark, same_at)
+    release(spark)
+    one = one.select("id", "th", F.transform("at", lambda x: F.struct(x.alias("s"), (x + length).alias("e"))).alias("spans"))
+    return one.unionByName(many).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def covered(spans: np.ndarray, size: int) -> np.ndarray:
