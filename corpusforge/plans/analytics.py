@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions import resources as R
+from corpusforge.operators import lexicon as L
 from corpusforge.plans.registry import query, sql, table
 
 B = "BIGINT"
@@ -160,10 +161,32 @@ both(
 both("rate_per_million", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(count(*) * 1e6 / sum(count(*)) OVER (), 3) AS rate FROM {events} GROUP BY event_type")
 both("lexicon_stats_rollup", "SELECT coalesce(status, 'all') AS status, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN value < 20 THEN 'dead' WHEN value < 60 THEN 'aging' ELSE 'current' END AS status FROM {events}) GROUP BY ROLLUP (status)")
 both("year_histogram", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, CAST(count(*) AS BIGINT) AS n FROM {orders} GROUP BY year(o_orderdate)")
-both(
-    "initialism_filter",
-    "SELECT p_partkey, substring(lower(p_name), 1, 1) = substring(lower(p_type), 1, 1) AS reproduces, length(replace(p_name, ' ', '')) <= 6 AS is_short FROM {part}",
-)
+TERMS = (("g2g", "Got to go"), ("rizz", "Charm or attraction"), ("brb", "Be right back"), ("glow up", "Great looks opened"), ("aamof", "As a matter of fact"), ("w", "Win"), ("l8r", "Later"), ("tl;dr", "Too long; didn't read"))
+_INITIALS = "substring(array_to_string(list_transform(w, lambda x: x[1]), ''), 1, length(t) + 1)"
+
+
+@query(f"""
+    WITH v(term, definition) AS (VALUES {", ".join("('" + a.replace("'", "''") + "', '" + b.replace("'", "''") + "')" for a, b in TERMS)}),
+    x AS (SELECT *, regexp_replace(lower(term), '[^a-z0-9]', '', 'g') AS t, regexp_extract_all(lower(definition), '[a-z0-9]+') AS w FROM v)
+    SELECT term, t <> '' AND length(t) <= 6 AND NOT contains(trim(term), ' ') AND len(w) >= 2
+        AND (starts_with({_INITIALS}, t[:4]) OR starts_with({_INITIALS}, translate(t, '248', 'tfa')[:4])) AS initialism FROM x
+    """)
+def initialism_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.createDataFrame(TERMS, "term string, definition string")
+    return v.select("term", L.initialism(F.col("term"), F.col("definition")).alias("initialism"))
+
+
+@query("""
+    WITH d AS (SELECT event_type || '_' || CAST(user_id AS VARCHAR) AS term, CAST(floor(value) AS BIGINT) AS score, ts FROM events WHERE floor(value) >= 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY term) AS n FROM d),
+    g AS (SELECT term, CAST(min(ts) AS DATE) AS first_seen, CAST(max(ts) AS DATE) AS last_seen, CAST(max(n) AS BIGINT) AS n_defs, CAST(max(CASE WHEN i = n // 2 THEN score END) AS DOUBLE) AS median_score FROM r GROUP BY term)
+    SELECT *, round(pow(2, -(date_diff('day', first_seen, DATE '2029-01-01') / 365.25) / 3), 4) AS recency_weight, 'aging' AS status FROM g
+    """)
+def lexicon_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.concat_ws("_", "event_type", F.col("user_id").cast("string")).alias("word"), F.lit("d").alias("definition"), F.lit("e").alias("example"), F.col("ts").alias("time"), F.floor("value").alias("score"))
+    return L.build(e, F.lit("2029-01-01").cast("date")).drop("definition", "example")
+
+
 both(
     "distractor_topk",
     """
