@@ -8,19 +8,19 @@ are in one component needn't be verified, so groups of near copies cost a few pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import flatten, materialise, mix, shingle_hashes, slices, unique_by_doc, word_hashes
+from corpusforge.llm.common import flatten, materialise, mix, release, remove, shared_dir, shingle_hashes, slices, unique_by_doc, word_hashes
 from corpusforge.llm.graph import components
 
 LISTED = 200_000
 TASK_LIST = 50_000
-FRAGMENTS = 4
+FRAGMENTS = 8
 STAR_ROUNDS = 2
 
 
@@ -111,8 +111,8 @@ def signatures(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> Dat
     return docs.mapInArrow(run, f"row bigint, id {dict(docs.dtypes)['id']}, n bigint, k1 bigint, k2 bigint, prefix array<bigint>")
 
 
-def fragments(texts: DataFrame, k: int) -> DataFrame:
-    """(cls, frag, part): each wanted set (columns cls, k1, k2, text) cut at fixed places of the hash order, parts as sorted bytes."""
+def fragments(texts: DataFrame, k: int, wanted: range) -> DataFrame:
+    """(cls, frag, part): wanted fragments of each set (columns cls, k1, k2, text), cut at fixed places of the hash order, as sorted bytes."""
     top = np.uint64(64 - FRAGMENTS.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,32 +126,77 @@ def fragments(texts: DataFrame, k: int) -> DataFrame:
                 if right[i]:  # a repeated id may have other texts
                     own = s[at[i] : at[i + 1]]
                     cut = np.searchsorted(own >> top, np.arange(FRAGMENTS + 1))
-                    cls += [c] * FRAGMENTS
-                    frag += range(FRAGMENTS)
-                    part += [own[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                    cls += [c] * len(wanted)
+                    frag += wanted
+                    part += [own[cut[f] : cut[f + 1]].tobytes() for f in wanted]
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(frag, pa.int32()), pa.array(part, pa.binary())], ["cls", "frag", "part"])
 
-    return texts.select("cls", "k1", "k2", "text").mapInArrow(run, "cls bigint, frag int, part binary").dropDuplicates(["cls", "frag"])
+    return texts.select("cls", "k1", "k2", "text").mapInArrow(run, "cls bigint, frag int, part binary")
 
 
-def verify(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of the pairs (u, v, n_u, n_v) with 100 * intersection >= percent * union: overlaps by fragment, summed by pair."""
+def shared_tokens(sig: DataFrame) -> DataFrame:
+    """(h, row, pos): prefix shingles that more than one row has. One narrow shuffle; sorted keys stream by, so a hot one needs no memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # the row before, and whether it has been given out
+        given = True
         for b in batches:
-            both = []
-            for x, y in zip(b.column(4), b.column(5), strict=True):
+            if not b.num_rows:
+                continue
+            h = b.column(0).to_numpy()
+            same = h[1:] == h[:-1]
+            keep = np.zeros(len(h), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            if last is not None and last.column(0)[0].as_py() == h[0]:
+                keep[0] = True
+                if not given:
+                    yield last
+            if keep.any():
+                yield b.filter(pa.array(keep))
+            last, given = b.slice(len(h) - 1), bool(keep[-1])
+
+    tokens = sig.select(F.posexplode("prefix").alias("pos", "h"), "row").select("h", "row", "pos")
+    return tokens.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h bigint, row bigint, pos int")
+
+
+def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """pairs (u, v and others) with frag, both (the partial overlap) and rest_u, rest_v (sizes of the two parts), a row a fragment."""
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both, sizes = [], []
+            for x, y in zip(b.column(len(names) + 1), b.column(len(names) + 2), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                sizes.append((len(p), len(q)))
                 if len(p) > len(q):
                     p, q = q, p
                 both.append(int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(p) else 0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(both, pa.int64())], ["u", "v", "n_u", "n_v", "both"])
+            own = np.array(sizes, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names) + 1], pa.array(both, pa.int64()), pa.array(own[:, 0]), pa.array(own[:, 1])], [*names, "frag", "both", "part_u", "part_v"])
+
+    left = parts.select(F.col("cls").alias("u"), "frag", F.col("part").alias("p_u"))
+    right = parts.select(F.col("cls").alias("v"), "frag", F.col("part").alias("p_v"))
+    met = pairs.join(left, "u").join(right, ["v", "frag"]).select(*names, "frag", "p_u", "p_v")
+    # rows that are equal in id and text give a part more than once
+    return met.mapInArrow(run, ", ".join(f"{c} bigint" for c in names) + ", frag int, both bigint, part_u bigint, part_v bigint").groupBy(*names, "frag").agg(*[F.max(c).alias(c) for c in ("both", "part_u", "part_v")])
 
-    left = parts.select(F.col("cls").alias("u"), "frag", F.col("part").alias("part_u"))
-    right = parts.select(F.col("cls").alias("v"), "frag", F.col("part").alias("part_v"))
-    met = pairs.join(left, "u").join(right, ["v", "frag"]).select("u", "v", "n_u", "n_v", "part_u", "part_v")
-    shared = met.mapInArrow(run, "u bigint, v bigint, n_u bigint, n_v bigint, both bigint").groupBy("u", "v", "n_u", "n_v").agg(F.sum("both").alias("both"))
-    return shared.where((100 + percent) * F.col("both") >= percent * (F.col("n_u") + F.col("n_v"))).select("u", "v")
+
+def verify(pairs: DataFrame, head: DataFrame, tail: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(u, v) of the pairs (u, v, n_u, n_v) with 100 * intersection >= percent * union: overlaps by fragment, summed by pair.
+
+    The first fragment comes alone: a pair whose other fragments can't make up for what is missing there is out, so most candidates
+    cost an eighth of their sets. ``tail`` gives the other fragments of the classes that are left.
+    """
+    enough = lambda both: (100 + percent) * both >= percent * (F.col("n_u") + F.col("n_v"))
+    first = overlaps(pairs, head)
+    first = first.where(enough(F.col("both") + F.least(F.col("n_u") - F.col("part_u"), F.col("n_v") - F.col("part_v"))))
+    first = materialise(first.select("u", "v", "n_u", "n_v", F.col("both").alias("b_0")))
+    release(pairs.sparkSession)
+    parts = tail(first.select(F.col("u").alias("cls")).unionByName(first.select(F.col("v").alias("cls"))).distinct())
+    rest = overlaps(first, parts).groupBy("u", "v", "n_u", "n_v", "b_0").agg(F.sum("both").alias("both"))
+    return rest.where(enough(F.col("both") + F.col("b_0"))).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,20 +210,49 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     in prefixes: first each bucket's members with one seeded centre (STAR_ROUNDS times), and then all pairs of a bucket that still
     lie in different components and may reach the threshold by their sizes.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     common = frequent_words(rows)
     sig = materialise(signatures(rows.select(F.monotonically_increasing_id().alias("row"), "id", "text"), k, percent, common))
     full = sig.where(F.col("n") > 0)
     classes = materialise(full.groupBy("k1", "k2").agg(F.min("row").alias("cls"), F.min(F.struct(F.col("id").isNull(), "id")).getField("id").alias("id"), F.max("n").alias("n")))
-    reps = full.select("row", "prefix", "n").join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
-    tokens = reps.select(F.explode("prefix").alias("h"), F.col("row").alias("cls"), "n")
-    buckets = tokens.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("h")
-    buckets = materialise(tokens.join(buckets, "h"))
+    of = full.select("row", "k1", "k2", "n").join(classes.select("k1", "k2", "cls"), ["k1", "k2"]).select("row", "cls", "n")
+    buckets = shared_tokens(full).join(of, "row").groupBy("h", "cls").agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
+    buckets_at = shared_dir(spark)
+    buckets = materialise(buckets, buckets_at)
+    release(spark)
+    # of two classes alone in a bucket: sizes must allow the threshold, and what precedes the shingle in both counts as unshared (a pair
+    # that shares an earlier one meets there too)
+    total = F.sum("n")
+    alone = (F.count("*") == 2) & ((100 * F.min("n") < percent * F.max("n")) | (F.sum("pos") > total - 2 * F.ceil(total * percent / (100 + percent))))
+    useful = buckets.groupBy("h").agg(F.count("*").alias("c"), alone.alias("alone")).where((F.col("c") > 1) & ~F.col("alone")).select("h")
+    buckets = materialise(buckets.join(useful, "h", "left_semi").select("h", "cls", "n"))
+    remove(spark, buckets_at)
     # the sets of classes in buckets; a row may be read by id, and its keys tell whether it's the one
     wanted = buckets.select("cls").distinct().join(classes, "cls").join(full.select(F.col("row").alias("cls"), F.col("id").alias("own")), "cls")
-    wanted = wanted.select("cls", "k1", "k2", "own")
-    texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["own"]))
-    parts = materialise(fragments(texts, k))
+    wanted = materialise(wanted.select("cls", "k1", "k2", "own"))
+
+    def parts(some: DataFrame, frags: range) -> DataFrame:
+        texts = rows.join(some, rows["id"].eqNullSafe(some["own"]))
+        out = materialise(fragments(texts, k, frags))
+        release(spark)
+        return out
+
+    head, tails = parts(wanted, range(1)), []
+
+    def tail(classes: DataFrame) -> DataFrame:
+        """Fragments after the first of these classes; each class's text is read again once."""
+        some = wanted.join(classes, "cls", "left_semi")
+        for t in tails:
+            some = some.join(t.where("frag = 1").select("cls"), "cls", "left_anti")
+        some = materialise(some)
+        if not some.isEmpty():
+            tails.append(parts(some, range(1, FRAGMENTS)))
+        got = tails[0] if tails else head.where("frag < 0")
+        for t in tails[1:]:
+            got = got.unionByName(t)
+        return got
+
     roots, tried = None, None
     for i in range(STAR_ROUNDS + 1):
         if roots is None:
@@ -204,7 +278,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                 break
             continue
         tried = found.select("u", "v") if tried is None else tried.unionByName(found.select("u", "v"))
-        new = materialise(verify(found, parts, percent))
+        new = materialise(verify(found, head, tail, percent))
+        release(spark)
         links = new if roots is None else new.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
         roots = materialise(components(links))
     if roots is None:
