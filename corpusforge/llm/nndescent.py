@@ -1,8 +1,10 @@
 """Embedding near-duplicates by NN-descent.
 
 A neighbour graph starts from sorted random projections and is refined by joining each node's neighbours with one another, until few
-lists change. Its edges at the threshold give components; links inside a component are then counted exactly, block against block, so
-that a list of k neighbours never caps a vector's links. An audit against all rows decides whether lists must grow.
+lists change. Its edges at the threshold give components. A full list whose last edge still reaches the threshold may hide links to
+another component, so the vectors with such lists are compared exactly across components. Links inside a component are then counted
+exactly, block against block, so that a list of k neighbours never caps a vector's links. An audit against all rows decides whether
+lists must grow.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from corpusforge.llm.common import materialise
 from corpusforge.llm.graph import components
 
 BLOCK = 512
+WIDE = 2048
 
 
 def unit(rows: pa.Array) -> np.ndarray:
@@ -151,6 +154,46 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
     return by_key(rows, ["root", "i", "j"], run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def bridges(members: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links between the roots of members (label, dim, root, id, vec), each pair of them compared, by blocks of about WIDE vectors.
+
+    Every pair of a label's blocks is a group of its own; fewer links leave it than it has vectors, since roots that met are one from then on.
+    """
+    size = members.groupBy("label", "dim").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") < F.col("high"))
+    dealt = members.join(size.select("label", "dim", "blocks"), ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = dealt.select("label", "dim", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "root", "vec")
+    rows = rows.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "root", "vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, 4):
+            root, x, out = g.column(4).to_numpy().copy(), unit(g.column(5)), []
+            for at in range(0, len(x), BLOCK):
+                near = x[at : at + BLOCK] @ x.T >= threshold
+                for i in np.flatnonzero((near & (root[at : at + BLOCK, None] != root[None, :])).any(axis=1)):
+                    own = root[at + i]
+                    other = np.unique(root[near[i] & (root != own)])
+                    if len(other):
+                        out += [(own, o) for o in other]
+                        root[np.isin(root, other)] = own
+            if out:
+                u, v = np.array(out, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return by_key(rows, ["label", "dim", "i", "j"], run, "u bigint, v bigint")
+
+
+def join_roots(vectors: DataFrame, roots: DataFrame, some: DataFrame, threshold: float) -> DataFrame:
+    """``roots`` (node, root) after all vectors whose id is in ``some`` are compared exactly with those of other components."""
+    named = vectors.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    members = named.join(some, "id", "left_semi").select("label", "dim", F.coalesce("root", "id").alias("root"), "id", "vec")
+    found = materialise(bridges(members, threshold))
+    if found.isEmpty():
+        return roots
+    top = components(found).select(F.col("node").alias("was"), F.col("root").alias("top"))
+    joined = named.select("id", "root", F.coalesce("root", "id").alias("was")).join(top, "was", "left").where(F.col("root").isNotNull() | F.col("top").isNotNull())
+    return materialise(joined.select(F.col("id").alias("node"), F.coalesce("top", "was").alias("root")))
+
+
 def audit(vectors: DataFrame, found: DataFrame, threshold: float, queries: int, seed: int) -> float:
     """Share of the true links of a bounded, seeded set of queries that were found; all rows are compared with it."""
     some = vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(queries).select("id", "label", "dim", "vec").toArrow()
@@ -184,7 +227,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tabl
 
     Vectors compare within equal, non-null labels and equal lengths. Null, empty or zero vectors, ones with null or non-finite
     components, and rows with a null vec_id or label have no links and are their own component. Equal vectors of a label are one node
-    with a weight (repeated rows too). If the audit finds less than ``recall``, k and the tables double, twice at most.
+    with a weight (repeated rows too). Vectors whose lists are full at the threshold are compared with all such of other components,
+    whatever the audit says: in arithmetic, quadratic in their number within a label. If the audit finds less than ``recall``, k and the tables double, twice at most.
     """
     vec = F.transform("embedding", lambda x: x.cast("float"))
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -203,6 +247,9 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tabl
                 break
         near = graph.where(F.col("sim") >= threshold)
         roots = materialise(components(near.select("u", "v")))
+        # a link that neither end's list holds has two full lists of better ones
+        full = graph.groupBy("u").agg(F.count("*").alias("c"), F.min("sim").alias("low")).where((F.col("c") >= k) & (F.col("low") >= threshold))
+        roots = join_roots(vectors, roots, full.select(F.col("u").alias("id")), threshold)
         members = vectors.join(roots.withColumnRenamed("node", "id"), "id").select("root", "id", "weight", "vec")
         counts = materialise(count_links(members, threshold))
         if audit(vectors, counts, threshold, queries, seed) >= recall:

@@ -196,6 +196,21 @@ def test_nn_descent(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_nn_descent_joins_groups_whose_lists_are_full(spark):
+    rng = np.random.default_rng(16)
+    a, side = rng.normal(size=16), rng.normal(size=16)
+    a /= np.linalg.norm(a)
+    side -= (side @ a) * a
+    centres = [a, a + 0.12 * side / np.linalg.norm(side)]
+    x = np.vstack([c / np.linalg.norm(c) + rng.normal(size=(60, 16)) * 0.004 for c in centres]).astype(np.float32)
+    u = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    assert s.min() >= 0.98 and min(s[:60, :60].min(), s[60:, 60:].min()) > s[:60, 60:].max()
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = nndescent.near_duplicates(df, k=6, tables=6, rounds=3).collect()
+    assert len(got) == 120 and {(r.n_links, r.component_id) for r in got} == {(119, 0)}
+
+
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
 def test_jaccard(spark, k, percent):
     rng = random.Random(9)
