@@ -172,13 +172,20 @@ class SecretModel:
 
 def train(labelled: dict[str, list[str]], other: list[str], keep: float = 0.98) -> SecretModel:
     """Automata of the labelled kinds against one of other candidates; the threshold lets the share ``keep`` of labelled ones pass,
-    and is 0 (no likelier than background) at least, or what the highest thousandth of the background reaches."""
+    and is 0 (no likelier than background) at least. Other candidates that reach it are as likely credentials as labelled ones are: they
+    are kept out of the background, which is inferred anew until that changes no more (five times at most). So how many unlabelled
+    credentials there are doesn't move the threshold."""
     formats = {k: infer(sorted(v)) for k, v in labelled.items() if len(v) >= 20}
-    m = SecretModel(formats, infer(sorted(other)) if len(other) >= 20 else None, 0.0)
-    own = sorted(m.score(w) for k, v in labelled.items() if k in formats for w in v)
-    rest = sorted(m.score(w) for w in other)
-    if own:
-        m.threshold = max(0.0, own[int((1 - keep) * (len(own) - 1))], rest[int(0.999 * (len(rest) - 1))] if rest else 0.0)
+    m = SecretModel(formats, None, 0.0)
+    own = [w for k, v in labelled.items() if k in formats for w in v]
+    rest = sorted(other)
+    for _ in range(5):
+        m.background = infer(rest) if len(rest) >= 20 else None
+        if own:
+            m.threshold = max(0.0, sorted(map(m.score, own))[int((1 - keep) * (len(own) - 1))])
+        before, rest = rest, [w for w in sorted(other) if m.score(w) < m.threshold]
+        if rest == before:
+            break
     return m
 
 

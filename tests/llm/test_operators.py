@@ -121,6 +121,16 @@ def test_inferred_format_tells_credentials_from_numbers():
     assert secret_scan.train({"assign": [], "access": [], "hex": []}, other).score("abc123") == -math.inf
 
 
+@pytest.mark.parametrize("share", [0.01, 0.05, 0.3])
+def test_unlabelled_credentials_do_not_raise_the_threshold(share):
+    rng = random.Random(17)
+    key = lambda: "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=32))
+    number = lambda: ".".join(str(rng.randint(100, 255)) for _ in range(4))
+    m = secret_scan.train({"assign": [key() for _ in range(200)]}, [key() if i < 400 * share else number() for i in range(400)])
+    assert sum(m.score(key()) >= m.threshold for _ in range(400)) >= 380
+    assert sum(m.score(number()) >= m.threshold for _ in range(400)) <= 4
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randint(0, 60)) or None, rng.choice(["b", "a", "c", None])) for i in range(300)] + [(400 + i, "w " * 50, "d") for i in range(3)]
