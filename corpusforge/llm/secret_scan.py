@@ -34,9 +34,9 @@ def base_spans(text: str) -> list[tuple[Span, str]]:
 
 
 def candidates(text: str, base: list[tuple[Span, str]]) -> list[tuple[int, int, str]]:
-    """Runs of 12 and more credential characters with a digit that no base span touches."""
+    """Runs of 12 and more credential characters that no base span touches."""
     taken = [(s, e) for (s, _, e), _ in base]
-    return [(m.start(), m.end(), m[0]) for m in RUN.finditer(text) if DIGIT.search(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken)]
+    return [(m.start(), m.end(), m[0]) for m in RUN.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)]
 
 
 def spell(spans: list[Span]) -> str:
@@ -156,31 +156,33 @@ class Automaton:
 
 @dataclass
 class SecretModel:
-    """One automaton for each labelled kind, the background's, and the least score (bits a character over the background)."""
+    """One automaton for each labelled kind, the background's with a digit and without one (None if there are too few), and the least
+    score (bits a character over the background)."""
 
     formats: dict[str, Automaton]
-    background: Automaton | None
+    background: list[Automaton | None]
     threshold: float
 
     def score(self, word: str) -> float:
         """Bits a character by which the likeliest format explains the word better than the background does."""
         if not self.formats:
             return -math.inf
-        rest = self.background.log2p(word) if self.background else -6.5 * len(word)
+        rest = max(a.log2p(word) if a else -6.5 * len(word) for a in self.background)
         return (max(a.log2p(word) for a in self.formats.values()) - rest) / len(word)
 
 
 def train(labelled: dict[str, list[str]], other: list[str], keep: float = 0.98) -> SecretModel:
-    """Automata of the labelled kinds against one of other candidates; the threshold lets the share ``keep`` of labelled ones pass,
+    """Automata of the labelled kinds against two of other candidates, with a digit and without one; the threshold lets the share ``keep`` of labelled ones pass,
     and is 0 (no likelier than background) at least. Other candidates that reach it are as likely credentials as labelled ones are: they
     are kept out of the background, which is inferred anew until that changes no more (five times at most). So how many unlabelled
     credentials there are doesn't move the threshold."""
     formats = {k: infer(sorted(v)) for k, v in labelled.items() if len(v) >= 20}
-    m = SecretModel(formats, None, 0.0)
+    m = SecretModel(formats, [None, None], 0.0)
     own = [w for k, v in labelled.items() if k in formats for w in v]
     rest = sorted(other)
     for _ in range(5):
-        m.background = infer(rest) if len(rest) >= 20 else None
+        parts = [[w for w in rest if bool(DIGIT.search(w)) == d] for d in (True, False)]
+        m.background = [infer(p) if len(p) >= 20 else None for p in parts]
         if own:
             m.threshold = max(0.0, sorted(map(m.score, own))[int((1 - keep) * (len(own) - 1))])
         before, rest = rest, [w for w in sorted(other) if m.score(w) < m.threshold]
@@ -210,11 +212,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def fit(scanned: DataFrame, sample: int = 400) -> SecretModel:
-    """Automata from at most ``sample`` distinct credentials of each kind (least hash first), labelled by the base patterns."""
+    """Automata from at most ``sample`` distinct credentials of each kind (least hash first), labelled by the base patterns, and as many
+    other candidates with a digit and without one: those of prose are far more."""
     pick = lambda df: [r["v"] for r in df.select("v").distinct().orderBy(F.xxhash64(F.lit("secret"), "v"), "v").limit(sample).collect()]
     base = scanned.where(F.size("base") > 0).select(F.inline("base")).where(F.length("v") <= 4096)
+    digit = F.col("v").rlike("[0-9]")
     other = scanned.where(F.size("cand") > 0).select(F.inline("cand")).where(F.length("v") <= 4096)
-    return train({KINDS[k]: pick(base.where(F.col("k") == k)) for k in range(3)}, pick(other))
+    return train({KINDS[k]: pick(base.where(F.col("k") == k)) for k in range(3)}, pick(other.where(digit)) + pick(other.where(~digit)))
 
 
 def report(scanned: DataFrame, m: SecretModel, id_col: str = "doc_id") -> DataFrame:
@@ -242,7 +246,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
 
     Null and empty texts have no spans; repeated rows give repeated results; an empty table gives none. What the scan finds (not the
     texts) is written to the shared folder, so texts are read once. With fewer than 20 distinct credentials of a kind, that kind has
-    no automaton. Candidates without a digit aren't scored: prose has millions of those.
+    no automaton. Candidates without a digit are scored too; most are words of prose.
     """
     found = materialise(scan(docs, id_col, text_col))
     return report(found, fit(found, sample), id_col)

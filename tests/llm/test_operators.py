@@ -131,6 +131,23 @@ def test_unlabelled_credentials_do_not_raise_the_threshold(share):
     assert sum(m.score(number()) >= m.threshold for _ in range(400)) <= 4
 
 
+def test_credentials_of_letters_only_are_found(spark):
+    rng = random.Random(18)
+    key = lambda n=24: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=n))
+    word = lambda: "".join(rng.choices(["th", "an", "er", "on", "re", "ing", "or", "ion", "ha", "st"], k=8))
+    rows = [(i, f"token={key()} {word()} {word()}") for i in range(80)]
+    alone = {200 + i: key() for i in range(20)}
+    rows += [(i, f"{word()} {k} {word()}") for i, k in alone.items()]
+    df = frame(spark, rows)
+    got = {r.doc_id: r.spans for r in secret_scan.secrets(df).collect()}
+    text = dict(rows)
+    assert sum(got[i] == f"format:{text[i].index(k)}:{text[i].index(k) + len(k)}" for i, k in alone.items()) >= 18
+    assert sum("format" in got[i] for i in range(80)) <= 1
+    m = secret_scan.fit(secret_scan.scan(df))
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df, m).collect()}
+    assert sum(k not in clean[i] for i, k in alone.items()) >= 18
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randint(0, 60)) or None, rng.choice(["b", "a", "c", None])) for i in range(300)] + [(400 + i, "w " * 50, "d") for i in range(3)]
