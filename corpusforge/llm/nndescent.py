@@ -195,7 +195,8 @@ def join_roots(vectors: DataFrame, roots: DataFrame, some: DataFrame, threshold:
 
 
 def audit(vectors: DataFrame, found: DataFrame, threshold: float, queries: int, seed: int) -> float:
-    """Share of the true links of a bounded, seeded set of queries that were found; all rows are compared with it."""
+    """Least recall of a bounded, seeded set of queries, which all rows are compared with: the mean share of a query's true links that
+    were found, by number of true links (1, 2 to 3, 4 to 7 and so on), so that a large group can't hide what small ones lost."""
     some = vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(queries).select("id", "label", "dim", "vec").toArrow()
     if not some.num_rows:
         return 1.0
@@ -218,8 +219,9 @@ def audit(vectors: DataFrame, found: DataFrame, threshold: float, queries: int,
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "truth"])
 
     truth = vectors.select("id", "label", "dim", "vec", "weight").mapInArrow(run, "id bigint, truth bigint").groupBy("id").agg(F.sum("truth").alias("truth"))
-    r = truth.join(found, "id", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("n", F.lit(0))))).first()
-    return 1.0 if not r[0] else r[1] / r[0]
+    share = truth.join(found, "id", "left").where(F.col("truth") > 0).select(F.floor(F.log2("truth")).alias("size"), (F.least("truth", F.coalesce("n", F.lit(0))) / F.col("truth")).alias("share"))
+    r = share.groupBy("size").agg(F.avg("share").alias("share")).agg(F.min("share")).first()
+    return 1.0 if r[0] is None else r[0]
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tables: int = 10, rounds: int = 5, recall: float = 0.995, queries: int = 256, seed: int = 23) -> DataFrame:
@@ -228,7 +230,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tabl
     Vectors compare within equal, non-null labels and equal lengths. Null, empty or zero vectors, ones with null or non-finite
     components, and rows with a null vec_id or label have no links and are their own component. Equal vectors of a label are one node
     with a weight (repeated rows too). Vectors whose lists are full at the threshold are compared with all such of other components,
-    whatever the audit says: in arithmetic, quadratic in their number within a label. If the audit finds less than ``recall``, k and the tables double, twice at most.
+    whatever the audit says: in arithmetic, quadratic in their number within a label. If the audit finds less than ``recall``, k and the tables double, twice at most;
+    if the last graph fails too, all vectors of a label are compared exactly across components (quadratic in arithmetic).
     """
     vec = F.transform("embedding", lambda x: x.cast("float"))
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -237,6 +240,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tabl
     vectors = materialise(good.groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).withColumn("dim", F.size("vec")))
     # an id may have several rows with other vectors; nodes are then told apart by their number
     vectors = materialise(vectors.withColumn("first", F.col("id")).withColumn("id", F.monotonically_increasing_id()))
+    members = lambda: vectors.join(roots.withColumnRenamed("node", "id"), "id").select("root", "id", "weight", "vec")
     for attempt in range(3):
         graph = materialise(nearest(seeds(vectors, tables, 3, 10, seed + attempt), k))
         for _ in range(rounds):
@@ -250,11 +254,13 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tabl
         # a link that neither end's list holds has two full lists of better ones
         full = graph.groupBy("u").agg(F.count("*").alias("c"), F.min("sim").alias("low")).where((F.col("c") >= k) & (F.col("low") >= threshold))
         roots = join_roots(vectors, roots, full.select(F.col("u").alias("id")), threshold)
-        members = vectors.join(roots.withColumnRenamed("node", "id"), "id").select("root", "id", "weight", "vec")
-        counts = materialise(count_links(members, threshold))
+        counts = materialise(count_links(members(), threshold))
         if audit(vectors, counts, threshold, queries, seed) >= recall:
             break
         k, tables = 2 * k, 2 * tables
+    else:
+        roots = join_roots(vectors, roots, vectors.select("id"), threshold)
+        counts = materialise(count_links(members(), threshold))
     named = vectors.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     known = named.join(least, "root").join(counts, "id", "left").select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component")

@@ -238,6 +238,20 @@ def test_nn_descent_joins_groups_whose_lists_are_full(spark):
     assert len(got) == 120 and {(r.n_links, r.component_id) for r in got} == {(119, 0)}
 
 
+def test_nn_descent_audit_sees_lost_pairs_beside_a_large_group(spark, monkeypatch):
+    rng = np.random.default_rng(19)
+    pairs = rng.normal(size=(20, 16)).repeat(2, axis=0) + rng.normal(size=(40, 16)) * 0.005
+    x = np.vstack([rng.normal(size=(1, 16)) + rng.normal(size=(120, 16)) * 0.005, pairs]).astype(np.float32)
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, vec array<float>, label int").selectExpr("*", "16 AS dim", "1L AS weight").coalesce(1)
+    lost = spark.createDataFrame([(i, 119) for i in range(120)], "id long, n long")
+    assert nndescent.audit(df, lost, 0.98, 256, 1) == 0
+    monkeypatch.setattr(nndescent, "seeds", lambda vectors, *_: vectors.selectExpr("id AS u", "id AS v", "1D AS sim").limit(0))
+    got = nndescent.near_duplicates(df.selectExpr("id AS vec_id", "vec AS embedding", "label"), rounds=1).collect()
+    want = {i: (119, 0) if i < 120 else (1, i - i % 2) for i in range(160)}
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
 def test_jaccard(spark, k, percent):
     rng = random.Random(9)
