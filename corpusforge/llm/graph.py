@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import materialise
+from corpusforge.llm.common import discard, materialise
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each component, for all nodes of ``edges`` (columns u, v; self-loops don't count).
 
     A hub's minimum is a partial aggregate, and its neighbours meet it in a join that skew handling may split. Each round's edges are
-    written, so a lost executor repeats one round at most. Rounds grow with the logarithm of a component's size.
+    written, so a lost executor repeats one round at most. Rounds grow with the logarithm of a component's size; not to end within
+    ``rounds`` is an error.
     """
     e = materialise(edges.select("u", "v").where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
@@ -24,9 +25,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: a node and its neighbours below go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        e = materialise(small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, materialise(small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    else:
+        raise RuntimeError(f"components didn't settle within {rounds} rounds")
+    out = materialise(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    discard(e)
+    return out

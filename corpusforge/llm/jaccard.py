@@ -1,66 +1,36 @@
 """N-gram Jaccard join by vertical partitioning.
 
-Shingles have one global order: estimated frequency (from word counts), then hash. A pair at the threshold shares a shingle among the
-first ones of both in that order, which gives the candidates; the order of hashes cut into fragments gives each pair's overlap: partial
-overlaps are counted a fragment at a time and summed by pair. Equal shingle sets are one class from the start, and pairs that already
-are in one component needn't be verified, so groups of near copies cost a few pairs a document instead of all.
+The space of shingle hashes is cut into fragments. Fragment by fragment, the documents of each shingle are counted, which gives the global
+order of shingles: frequency, then hash. A pair at the threshold shares a shingle among the first ones of both in that order, and its place
+there bounds the overlap; that gives the candidates. Their partial overlaps are counted separately in each fragment and summed by pair.
+Equal shingle sets are one class from the start, and pairs that already are in one component needn't be verified, so groups of near copies
+cost a few pairs a document instead of all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import flatten, materialise, mix, release, remove, shared_dir, shingle_hashes, slices, unique_by_doc, word_hashes
+from corpusforge.llm.common import discard, flatten, materialise, mix, release, repeatable, shingle_hashes, slices, unique_by_doc, word_hashes
 from corpusforge.llm.graph import components
 
-LISTED = 200_000
-TASK_LIST = 50_000
-FRAGMENTS = 8
-STAR_ROUNDS = 2
+FRAGMENTS = 8  # of the sets, in verification
+BLOCK = 2_000_000  # shingles that a task sorts at once
+LOW_BITS = 40  # of a shingle's name within its fragment, in counting
+OFTEN = 8  # a shingle that more documents of a block have goes to its fragment once, with their number
+STAR_ROUNDS = 3
+FEW = 500_000  # rows that may be broadcast
 
 
-def frequent_words(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes and log2 counts (2 rows) of the LISTED most frequent words. Every task counts all its words and sends its
-    TASK_LIST most frequent; the counts order shingles and decide nothing else."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merge() -> None:
-            h, n = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            u, at = np.unique(h, return_inverse=True)
-            held[:] = [(u, np.bincount(at, n).astype(np.int64))]
-
-        rows = 0
-        for b in slices(batches):
-            u, n = np.unique(word_hashes(*flatten(b.column(0)))[0], return_counts=True)
-            held.append((u, n))
-            rows += len(u)
-            if rows > 2_000_000:
-                merge()
-                rows = len(held[0][0])
-        if held:
-            merge()
-            h, n = held[0]
-            top = np.argsort(-n, kind="stable")[:TASK_LIST]
-            yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(n[top])], ["h", "n"])
-
-    top = docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
-    h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(h)
-    return np.stack([h[order], np.round(4 * np.log2(n[order])).astype(np.uint64)])
-
-
-def sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their documents, and the distinct shingles with theirs."""
+def sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each document, by document and then hash, with their documents."""
     w, wd = word_hashes(buf, offsets)
-    s, sd = unique_by_doc(*shingle_hashes(w, wd, len(offsets) - 1, k))
-    return w, wd, s, sd
+    return unique_by_doc(*shingle_hashes(w, wd, len(offsets) - 1, k))
 
 
 def set_keys(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,131 +42,211 @@ def set_keys(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def signatures(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """row, id, n (set size), k1, k2 (set keys) and prefix (the first n - ceil(percent * n / 100) + 1 shingles in global order)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def _packed(x: np.ndarray) -> bytes:
+    """56-bit values in 7 bytes each."""
+    return x.view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, logs = shared.value
-        for b in slices(batches):
-            docs = b.num_rows
-            w, wd = word_hashes(*flatten(b.column(2)))
-            if len(names):
-                at = np.minimum(np.searchsorted(names, w), len(names) - 1)
-                weight = np.where(names[at] == w, logs[at], 0).astype(np.int64)
-            else:
-                weight = np.zeros(len(w), np.int64)
-            s, sd = shingle_hashes(w, wd, docs, k)
-            total = np.concatenate([[0], np.cumsum(weight)])
-            m = len(w) - k + 1
-            whole = np.flatnonzero(wd[:m] == wd[k - 1 :]) if m > 0 else np.zeros(0, np.int64)
-            sw = np.zeros(len(s), np.int64)  # short documents have one shingle, whose place doesn't matter
-            sw[: len(whole)] = total[whole + k] - total[whole]
-            order = np.lexsort((s, sw, sd))
-            s, sd = s[order], sd[order]
-            keep = np.ones(len(s), bool)
-            keep[1:] = (s[1:] != s[:-1]) | (sd[1:] != sd[:-1])
-            s, sd = s[keep], sd[keep]
-            at = np.searchsorted(sd, np.arange(docs + 1))
-            n = np.diff(at)
-            size = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-            first = np.concatenate([[0], np.cumsum(size)])
-            pick = np.arange(first[-1]) + np.repeat(at[:-1] - first[:-1], size)
-            k1, k2 = set_keys(s, at)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(s[pick].view(np.int64)))],
-                ["row", "id", "n", "k1", "k2", "prefix"],
-            )
 
-    return docs.mapInArrow(run, f"row bigint, id {dict(docs.dtypes)['id']}, n bigint, k1 bigint, k2 bigint, prefix array<bigint>")
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return out.view(np.uint64).ravel()
+
 
+def _blocks(docs: DataFrame, k: int, bits: int) -> DataFrame:
+    """(at, block, kind, data, counts): what each block of documents (columns row, id, text) sends by way of fragment ``at``.
 
-def fragments(texts: DataFrame, k: int, wanted: range) -> DataFrame:
-    """(cls, frag, part): wanted fragments of each set (columns cls, k1, k2, text), cut at fixed places of the hash order, as sorted bytes."""
+    kind 0: its rows (Arrow: row, id, n, k1, k2, own); of rows with equal sets the first alone has its shingles sent. kind 1: shingles with
+    more than OFTEN documents (names, numbers, documents). kind 2: 40 bits of each shingle and 16 of its document, in order; a shingle of
+    kind 1 comes once, as of document 65,535, and ``counts`` has its number.
+    """
+    low = np.uint64(LOW_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        size = [0, 0]
+
+        def flush() -> pa.RecordBatch:
+            n, k1, k2 = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4))
+            first = np.cumsum([0, *(x[0].num_rows for x in held)])
+            name = np.concatenate([x[1] for x in held]) >> np.uint64(64 - bits - LOW_BITS)
+            doc = np.repeat(np.arange(len(n)), n)
+            _, one = np.unique(np.stack([k1, k2], 1), axis=0, return_index=True)
+            own = np.zeros(len(n), bool)
+            own[one] = True
+            name, doc = name[own[doc]], doc[own[doc]]
+            order = np.argsort(name, kind="stable")
+            name, doc = name[order], doc[order]
+            start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+            count = np.diff(start, append=len(name))
+            many = np.repeat(count > OFTEN, count)
+            keep = ~many
+            keep[start] = True
+            rows = pa.concat_tables([pa.Table.from_batches([x[0].select(["row", "id"])]) for x in held]).combine_chunks()
+            for c, values in (("n", n), ("k1", k1), ("k2", k2), ("own", own)):
+                rows = rows.append_column(c, pa.array(values))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as w:
+                w.write_table(rows)
+            block = held[0][0].column(0)[0].as_py()
+            hot = count > OFTEN
+            names, numbers, docs = name[start[hot]], count[hot].astype(np.uint32), doc[many].astype(np.uint16)
+            mark = np.where(many, np.uint64(0xFFFF), doc.astype(np.uint64))[keep]
+            own_count = np.repeat(count, count)[keep].astype(np.uint32)
+            kept, often = name[keep], many[keep]
+            cut = np.searchsorted(kept >> low, np.arange((1 << bits) + 1, dtype=np.uint64))
+            packed = ((kept & np.uint64((1 << LOW_BITS) - 1)) << np.uint64(16)) | mark
+            via = block % 1_000_003 % (1 << bits)
+            out: list[tuple[int, int, bytes, bytes]] = [(via, 0, sink.getvalue().to_pybytes(), b"")]
+            if len(names):
+                out.append((via, 1, names.tobytes() + docs.tobytes(), numbers.tobytes()))
+            for f in np.flatnonzero(np.diff(cut)):
+                a, b = cut[f], cut[f + 1]
+                out.append((int(f), 2, _packed(packed[a:b]), own_count[a:b][often[a:b]].tobytes()))
+            held.clear()
+            size[:] = [0, 0]
+            at, kind, data, counts = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([block] * len(at), pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary()), pa.array(counts, pa.binary())], ["at", "block", "kind", "data", "counts"])
+
+        for b in slices(batches):
+            for part in (b.slice(i, 30_000) for i in range(0, b.num_rows, 30_000)):
+                s, sd = sets(*flatten(part.column(2)), k)
+                at = np.searchsorted(sd, np.arange(part.num_rows + 1))
+                held.append((part, s, np.diff(at), *set_keys(s, at)))
+                size[0] += len(s)
+                size[1] += part.num_rows
+                if size[0] > BLOCK or size[1] > 30_000:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return docs.mapInArrow(run, "at bigint, block bigint, kind int, data binary, counts binary")
+
+
+def _counted(blocks: DataFrame) -> DataFrame:
+    """(block, at, kind, data): shingles that more than one document has go back to the blocks, 8 bits of log frequency with each."""
+
+    def run(t: pa.Table) -> pa.Table:
+        kind = t.column("kind").to_numpy()
+        passed = t.filter(pa.array(kind < 2))
+        out = [passed.select(["block", "at", "kind", "data", "counts"])]
+        t = t.filter(pa.array(kind == 2))
+        if t.num_rows:
+            raw = t.column("data").to_pylist()
+            x = _unpacked(b"".join(raw))
+            numbers = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint32)
+            owner = np.repeat(np.arange(t.num_rows), [len(r) // 7 for r in raw])
+            del raw
+            weight = np.ones(len(x), np.int64)
+            weight[(x & np.uint64(0xFFFF)) == 0xFFFF] = numbers
+            names, at = np.unique(x >> np.uint64(16), return_inverse=True)
+            f = np.bincount(at, weight, len(names))
+            code = np.where(f > 1, np.clip(np.round(4 * np.log2(f)), 1, 255), 0).astype(np.uint64)[at]
+            keep = code > 0
+            x, owner = (x | (code << np.uint64(56)))[keep], owner[keep]
+            cut = np.searchsorted(owner, np.arange(t.num_rows + 1))
+            full = np.flatnonzero(np.diff(cut))
+            out.append(pa.table([t.column("block").take(pa.array(full)), t.column("at").take(pa.array(full)), pa.array(np.full(len(full), 2, np.int32)), pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()), pa.array([b""] * len(full), pa.binary())], names=["block", "at", "kind", "data", "counts"]))
+        return pa.concat_tables([x.cast(schema) for x in out])
+
+    schema = pa.schema([("block", pa.int64()), ("at", pa.int64()), ("kind", pa.int32()), ("data", pa.binary()), ("counts", pa.binary())])
+    return blocks.groupBy("at").applyInArrow(run, "block bigint, at bigint, kind int, data binary, counts binary")
+
+
+def _signed(counted: DataFrame, percent: int, id_type: str) -> DataFrame:
+    """row, id, n (set size), k1, k2 (set keys), tokens: names of those of the first n - ceil(percent * n / 100) + 1 shingles in global
+    order that other documents have too, and first: the place of the first of them. Only one of equal sets in a block has tokens."""
+
+    def run(t: pa.Table) -> pa.Table:
+        kind = t.column("kind").to_numpy()
+        rows = pa.ipc.open_stream(t.filter(pa.array(kind == 0)).column("data")[0].as_buffer()).read_all()
+        n, own = rows.column("n").to_numpy(), rows.column("own").to_numpy()
+        mine = t.filter(pa.array(kind == 2))
+        raw = mine.column("data").to_pylist()
+        x = np.frombuffer(b"".join(raw), np.uint64)
+        code = (x >> np.uint64(56)).astype(np.int64)
+        doc = (x & np.uint64(0xFFFF)).astype(np.int64)
+        name = (np.repeat(mine.column("at").to_numpy(), [len(r) // 8 for r in raw]) << LOW_BITS) | ((x >> np.uint64(16)) & np.uint64((1 << LOW_BITS) - 1)).astype(np.int64)
+        for data, counts in zip(*(t.filter(pa.array(kind == 1)).column(c).to_pylist() for c in ("data", "counts")), strict=True):
+            numbers = np.frombuffer(counts, np.uint32).astype(np.int64)
+            names = np.frombuffer(data[: 8 * len(numbers)], np.uint64).astype(np.int64)
+            docs = np.frombuffer(data[8 * len(numbers) :], np.uint16).astype(np.int64)
+            often = doc == 0xFFFF
+            order = np.argsort(name[often])
+            codes = code[often][order][np.searchsorted(name[often][order], names)]
+            code = np.concatenate([code[~often], np.repeat(codes, numbers)])
+            name = np.concatenate([name[~often], np.repeat(names, numbers)])
+            doc = np.concatenate([doc[~often], docs])
+        order = np.lexsort((name, code, doc))
+        doc, name = doc[order], name[order]
+        at = np.searchsorted(doc, np.arange(len(n) + 1))
+        first = np.where(own, n - np.diff(at), n)
+        prefix = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+        size = np.clip(prefix - first, 0, np.diff(at))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        pick = np.arange(ends[-1]) + np.repeat(at[:-1] - ends[:-1], size)
+        return pa.table([*(rows.column(c) for c in ("row", "id", "n", "k1", "k2")), pa.array(first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(name[pick]))], names=["row", "id", "n", "k1", "k2", "first", "tokens"])
+
+    return counted.groupBy("block").applyInArrow(run, f"row bigint, id {id_type}, n bigint, k1 bigint, k2 bigint, first bigint, tokens array<bigint>")
+
+
+def signatures(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """One row a document (columns row, id, text), as :func:`_signed` gives them. Every shingle of every document is counted; 7 bytes of
+    each are shuffled. There are four fragments a partition of the input or of a shuffle, so a fragment has the shingles of some 50 MB."""
+    spark = rows.sparkSession
+    parts = max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bits = min(max((4 * parts - 1).bit_length(), 6), 22)
+    return _signed(_counted(_blocks(rows, k, bits)), percent, dict(rows.dtypes)["id"])
+
+
+def fragments(texts: DataFrame, k: int) -> DataFrame:
+    """(cls, frag, part): the fragments of each set (columns cls, k1, k2, text), cut at fixed places of the hash order, as sorted bytes."""
     top = np.uint64(64 - FRAGMENTS.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            _, _, s, sd = sets(*flatten(b.column(3)), k)
+            s, sd = sets(*flatten(b.column(3)), k)
             at = np.searchsorted(sd, np.arange(b.num_rows + 1))
             k1, k2 = set_keys(s, at)
-            right = (k1 == b.column(1).to_numpy()) & (k2 == b.column(2).to_numpy())
-            cls, frag, part = [], [], []
-            for i, c in enumerate(b.column(0).to_pylist()):
-                if right[i]:  # a repeated id may have other texts
-                    own = s[at[i] : at[i + 1]]
-                    cut = np.searchsorted(own >> top, np.arange(FRAGMENTS + 1))
-                    cls += [c] * len(wanted)
-                    frag += wanted
-                    part += [own[cut[f] : cut[f + 1]].tobytes() for f in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(frag, pa.int32()), pa.array(part, pa.binary())], ["cls", "frag", "part"])
+            if (k1 != b.column(1).to_numpy()).any() or (k2 != b.column(2).to_numpy()).any():
+                raise ValueError("the input gives other rows when it is read again")
+            part = []
+            for i in range(b.num_rows):
+                own = s[at[i] : at[i + 1]]
+                cut = np.searchsorted(own >> top, np.arange(FRAGMENTS + 1))
+                part += [own[cut[f] : cut[f + 1]].tobytes() for f in range(FRAGMENTS)]
+            cls = np.repeat(b.column(0).to_numpy(), FRAGMENTS)
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), b.num_rows)), pa.array(part, pa.binary())], ["cls", "frag", "part"])
 
     return texts.select("cls", "k1", "k2", "text").mapInArrow(run, "cls bigint, frag int, part binary")
 
 
-def shared_tokens(sig: DataFrame) -> DataFrame:
-    """(h, row, pos): prefix shingles that more than one row has. One narrow shuffle; sorted keys stream by, so a hot one needs no memory."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.RecordBatch | None = None  # the row before, and whether it has been given out
-        given = True
-        for b in batches:
-            if not b.num_rows:
-                continue
-            h = b.column(0).to_numpy()
-            same = h[1:] == h[:-1]
-            keep = np.zeros(len(h), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            if last is not None and last.column(0)[0].as_py() == h[0]:
-                keep[0] = True
-                if not given:
-                    yield last
-            if keep.any():
-                yield b.filter(pa.array(keep))
-            last, given = b.slice(len(h) - 1), bool(keep[-1])
-
-    tokens = sig.select(F.posexplode("prefix").alias("pos", "h"), "row").select("h", "row", "pos")
-    return tokens.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h bigint, row bigint, pos int")
-
-
-def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """pairs (u, v and others) with frag, both (the partial overlap) and rest_u, rest_v (sizes of the two parts), a row a fragment."""
-    names = pairs.columns
+def verify(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the pairs (u, v, n_u, n_v) with 100 * intersection >= percent * union: overlaps by fragment, summed by pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both, sizes = [], []
-            for x, y in zip(b.column(len(names) + 1), b.column(len(names) + 2), strict=True):
+            both = np.zeros(b.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(b.column(4), b.column(5), strict=True)):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                sizes.append((len(p), len(q)))
                 if len(p) > len(q):
                     p, q = q, p
-                both.append(int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(p) else 0)
-            own = np.array(sizes, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names) + 1], pa.array(both, pa.int64()), pa.array(own[:, 0]), pa.array(own[:, 1])], [*names, "frag", "both", "part_u", "part_v"])
+                if len(p):
+                    both[i] = (q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(both)], ["u", "v", "n_u", "n_v", "both"])
 
     left = parts.select(F.col("cls").alias("u"), "frag", F.col("part").alias("p_u"))
     right = parts.select(F.col("cls").alias("v"), "frag", F.col("part").alias("p_v"))
-    met = pairs.join(left, "u").join(right, ["v", "frag"]).select(*names, "frag", "p_u", "p_v")
-    # rows that are equal in id and text give a part more than once
-    return met.mapInArrow(run, ", ".join(f"{c} bigint" for c in names) + ", frag int, both bigint, part_u bigint, part_v bigint").groupBy(*names, "frag").agg(*[F.max(c).alias(c) for c in ("both", "part_u", "part_v")])
+    met = pairs.join(left, "u").join(right, ["v", "frag"]).select("u", "v", "n_u", "n_v", "p_u", "p_v")
+    summed = met.mapInArrow(run, "u bigint, v bigint, n_u bigint, n_v bigint, both bigint").groupBy("u", "v", "n_u", "n_v").agg(F.sum("both").alias("both"))
+    return summed.where((100 + percent) * F.col("both") >= percent * (F.col("n_u") + F.col("n_v"))).select("u", "v")
 
 
-def verify(pairs: DataFrame, head: DataFrame, tail: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(u, v) of the pairs (u, v, n_u, n_v) with 100 * intersection >= percent * union: overlaps by fragment, summed by pair.
-
-    The first fragment comes alone: a pair whose other fragments can't make up for what is missing there is out, so most candidates
-    cost an eighth of their sets. ``tail`` gives the other fragments of the classes that are left.
-    """
-    enough = lambda both: (100 + percent) * both >= percent * (F.col("n_u") + F.col("n_v"))
-    first = overlaps(pairs, head)
-    first = first.where(enough(F.col("both") + F.least(F.col("n_u") - F.col("part_u"), F.col("n_v") - F.col("part_v"))))
-    first = materialise(first.select("u", "v", "n_u", "n_v", F.col("both").alias("b_0")))
-    release(pairs.sparkSession)
-    parts = tail(first.select(F.col("u").alias("cls")).unionByName(first.select(F.col("v").alias("cls"))).distinct())
-    rest = overlaps(first, parts).groupBy("u", "v", "n_u", "n_v", "b_0").agg(F.sum("both").alias("both"))
-    return rest.where(enough(F.col("both") + F.col("b_0"))).select("u", "v")
+def _may_link(percent: int, n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
+    """Whether two sets whose first common shingle has these places may reach the threshold. What precedes it in either isn't common; pairs
+    that share an earlier one meet there too, so no link is lost."""
+    need = percent * (n + n2)
+    return ((100 + percent) * (n - pos) >= need) & ((100 + percent) * (n2 - pos2) >= need) & (100 * F.least(n, n2) >= percent * F.greatest(n, n2))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,84 +254,79 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text, A-Z lower-cased; a set has the distinct k-word shingles, of shorter texts the one
     of all their words. Null texts and texts without words have an empty set and link with nothing. Repeated rows and equal sets link;
-    a null id stays null and counts last among its component's ids. Columns other than id and text aren't read.
+    a null id stays null and counts last among its component's ids. Columns other than id and text aren't read. An empty table gives none.
 
-    Shingles are 64-bit hashes, sets are told apart by 128 bits. The prefix filter loses no pair. Candidates come from shingles shared
-    in prefixes: first each bucket's members with one seeded centre (STAR_ROUNDS times), and then all pairs of a bucket that still
-    lie in different components and may reach the threshold by their sizes.
+    Shingles are 64-bit hashes, sets are told apart by 128 bits. Candidates are pairs that meet at a shingle whose places in both allow the
+    threshold: first, at most STAR_ROUNDS times, in each bucket a member of each component with one of the component that has most members
+    there, while the buckets have more pairs of different components than members; and then all pairs of a bucket that still lie in
+    different components.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    common = frequent_words(rows)
-    sig = materialise(signatures(rows.select(F.monotonically_increasing_id().alias("row"), "id", "text"), k, percent, common))
+    rows, own = repeatable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    sig = materialise(signatures(rows, k, percent))
+    release(spark)
     full = sig.where(F.col("n") > 0)
-    classes = materialise(full.groupBy("k1", "k2").agg(F.min("row").alias("cls"), F.min(F.struct(F.col("id").isNull(), "id")).getField("id").alias("id"), F.max("n").alias("n")))
-    of = full.select("row", "k1", "k2", "n").join(classes.select("k1", "k2", "cls"), ["k1", "k2"]).select("row", "cls", "n")
-    buckets = shared_tokens(full).join(of, "row").groupBy("h", "cls").agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
-    buckets_at = shared_dir(spark)
-    buckets = materialise(buckets, buckets_at)
+    classes = materialise(full.groupBy("k1", "k2").agg(F.min("row").alias("cls"), F.min(F.struct(F.col("id").isNull(), "id")).getField("id").alias("id")))
+    # a class's least row is the first of its sets in its block, and so has tokens
+    tokens = full.where(F.size("tokens") > 0).join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
+    tokens = tokens.select(F.col("row").alias("cls"), "n", "first", F.posexplode("tokens").alias("i", "h")).select("h", "cls", "n", (F.col("first") + F.col("i")).alias("pos"))
+    # in the smaller set of a pair, the shingle is among the first n - ceil(2 * percent * n / (100 + percent)) + 1
+    early = (100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")
+    tokens = materialise(tokens.withColumn("early", early))
+    useful = tokens.groupBy("h").agg(F.count("*").alias("c"), F.max("early").alias("early")).where((F.col("c") > 1) & F.col("early")).select("h")
+    buckets = materialise(tokens.join(useful, "h", "left_semi"))
+    discard(tokens)
+    wanted = materialise(buckets.select("cls").distinct().join(classes.select("cls", "k1", "k2"), "cls"))
+    few = wanted.count() <= FEW
+    parts = materialise(fragments(rows.join(F.broadcast(wanted) if few else wanted, F.col("row") == F.col("cls")), k))
     release(spark)
-    # of two classes alone in a bucket: sizes must allow the threshold, and what precedes the shingle in both counts as unshared (a pair
-    # that shares an earlier one meets there too)
-    total = F.sum("n")
-    alone = (F.count("*") == 2) & ((100 * F.min("n") < percent * F.max("n")) | (F.sum("pos") > total - 2 * F.ceil(total * percent / (100 + percent))))
-    useful = buckets.groupBy("h").agg(F.count("*").alias("c"), alone.alias("alone")).where((F.col("c") > 1) & ~F.col("alone")).select("h")
-    buckets = materialise(buckets.join(useful, "h", "left_semi").select("h", "cls", "n"))
-    remove(spark, buckets_at)
-    # the sets of classes in buckets; a row may be read by id, and its keys tell whether it's the one
-    wanted = buckets.select("cls").distinct().join(classes, "cls").join(full.select(F.col("row").alias("cls"), F.col("id").alias("own")), "cls")
-    wanted = materialise(wanted.select("cls", "k1", "k2", "own"))
-
-    def parts(some: DataFrame, frags: range) -> DataFrame:
-        texts = rows.join(some, rows["id"].eqNullSafe(some["own"]))
-        out = materialise(fragments(texts, k, frags))
-        release(spark)
-        return out
-
-    head, tails = parts(wanted, range(1)), []
-
-    def tail(classes: DataFrame) -> DataFrame:
-        """Fragments after the first of these classes; each class's text is read again once."""
-        some = wanted.join(classes, "cls", "left_semi")
-        for t in tails:
-            some = some.join(t.where("frag = 1").select("cls"), "cls", "left_anti")
-        some = materialise(some)
-        if not some.isEmpty():
-            tails.append(parts(some, range(1, FRAGMENTS)))
-        got = tails[0] if tails else head.where("frag < 0")
-        for t in tails[1:]:
-            got = got.unionByName(t)
-        return got
-
-    roots, tried = None, None
+    discard(wanted, *own)
+
+    roots, tried, size = None, None, buckets.count()
     for i in range(STAR_ROUNDS + 1):
         if roots is None:
             rooted = buckets.withColumn("root", F.col("cls"))
         else:
             rooted = buckets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        pick = F.min(F.struct(F.xxhash64(F.lit(i), "cls").alias("o"), "cls", "n", "root")).alias("c")
-        centre = rooted.groupBy("h").agg(pick, F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") < F.col("high"))
-        if i < STAR_ROUNDS:
-            found = rooted.join(centre.select("h", F.col("c.cls").alias("v"), F.col("c.n").alias("n_v"), F.col("c.root").alias("root_v")), "h").withColumnRenamed("cls", "u").withColumnRenamed("n", "n_u")
+        rooted = materialise(rooted)
+        # of each component in a bucket, the member with the fewest shingles before this one links with most of the others; or any one
+        order = F.col("pos") / F.col("n") if i % 2 == 0 else F.lit(0.0)
+        member = F.min(F.struct(order.alias("o"), F.xxhash64(F.lit(i), "h", "cls").alias("x"), "cls", "n", "pos")).alias("m")
+        members = rooted.groupBy("h", "root").agg(F.count("*").alias("c"), F.max("early").alias("early"), member)
+        members = materialise(members.select("h", "root", "c", "early", "m.*"))
+        centre = F.min(F.struct((-F.col("c")).alias("c"), "o", "x", "cls", "n", "pos", "root")).alias("m")
+        apart = F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))
+        open_ = members.groupBy("h").agg(centre, F.count("*").alias("roots"), F.max("early").alias("early"), apart.cast("double").alias("apart")).where((F.col("roots") > 1) & F.col("early"))
+        open_ = materialise(open_.select("h", "m.cls", "m.n", "m.pos", "m.root", "apart"))
+        last = i == STAR_ROUNDS or (open_.agg(F.sum("apart")).first()[0] or 0) <= size
+        other = F.col("cls").alias("v"), F.col("n").alias("n_v"), F.col("pos").alias("pos_v"), F.col("root").alias("root_v")
+        if last:
+            left = rooted.join(open_.select("h"), "h", "left_semi")
+            found = left.join(left.where("early").select("h", *other), "h")
         else:
-            left = rooted.join(centre.select("h"), "h", "left_semi")
-            found = left.select("h", F.col("cls").alias("u"), F.col("n").alias("n_u"), "root").join(left.select("h", F.col("cls").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v")), "h").where(F.col("u") < F.col("v"))
-        found = found.where((F.col("root") != F.col("root_v")) & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")))
-        swap = F.col("u") > F.col("v")
+            found = members.join(open_.select("h", *other), "h")
+        ok = (F.col("root") != F.col("root_v")) & _may_link(percent, F.col("n"), F.col("pos"), F.col("n_v"), F.col("pos_v"))
+        swap = F.col("cls") > F.col("v")
         one = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
-        found = found.select(one("u", "v").alias("u"), one("v", "u").alias("v"), one("n_u", "n_v").alias("n_u"), one("n_v", "n_u").alias("n_v")).distinct()
+        found = found.where(ok).select(one("cls", "v").alias("u"), one("v", "cls").alias("v"), one("n", "n_v").alias("n_u"), one("n_v", "n").alias("n_v"), F.lit(False).alias("old"))
         if tried is not None:
-            found = found.join(tried, ["u", "v"], "left_anti")
-        found = materialise(found)
-        if found.isEmpty():
-            if i == STAR_ROUNDS:
-                break
-            continue
-        tried = found.select("u", "v") if tried is None else tried.unionByName(found.select("u", "v"))
-        new = materialise(verify(found, head, tail, percent))
+            found = found.unionByName(tried.withColumn("old", F.lit(True)))
+        found = materialise(found.groupBy("u", "v", "n_u", "n_v").agg(F.max("old").alias("old")).where(~F.col("old")).drop("old"))
+        if not found.isEmpty():
+            tried = found if tried is None else tried.unionByName(found)
+            new = materialise(verify(found, parts, percent))
+            if not new.isEmpty():
+                links = new if roots is None else new.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+                before, roots = roots, components(links)
+                if before is not None:
+                    discard(before)
+            discard(new)
+        discard(rooted, members, open_)
         release(spark)
-        links = new if roots is None else new.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = materialise(components(links))
+        if last:
+            break
+    discard(buckets, parts)
     if roots is None:
         named = classes.withColumn("root", F.col("cls"))
     else:

@@ -263,6 +263,15 @@ def test_jaccard(spark, k, percent):
             for _ in range(rng.randint(0, 4)):
                 w[rng.randrange(len(w))] = f"edit{g}x{c}x{rng.random():.3f}"
             rows.append((500 + 10 * g + c, " ".join(w)))
+    passage = prose(rng, 60).split()  # in many documents, most of which don't link
+    for c in range(40):
+        rows.append((None if c % 8 == 0 else 700 + c, " ".join(passage[rng.randint(0, 3) :] + prose(rng, rng.choice([1, 2, 4, 8, 12])).split())))
+    words = prose(rng, 150).split()  # near copies of near copies
+    for c in range(60):
+        words[rng.randrange(len(words))] = f"step{c}"
+        rows.append((800 + c, " ".join(words)))
+        rows.append((None, " ".join(words[: 140 + c % 7])))
+    rows += rows[-6:]
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame(spark, rows), k, percent).collect())
     sets = []
     for _, t in rows:
@@ -284,6 +293,8 @@ def test_jaccard(spark, k, percent):
         least.setdefault(find(i), []).append(d)
     want = collections.Counter((d, len(sets[i]), min(least[find(i)], key=lambda x: (x is None, x or 0))) for i, (d, _) in enumerate(rows))
     assert got == want
+    assert jaccard.near_duplicates(frame(spark, []), k, percent).count() == 0
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame(spark, rows).repartition(3), k, percent).collect()) == want
 
 
 def test_suffix(spark):
