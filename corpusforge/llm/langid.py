@@ -146,21 +146,20 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 14, dim: int =
     return out
 
 
-def sample(docs: DataFrame, where: Column, per_language: int, max_languages: int = 200) -> pd.DataFrame:
-    """About ``per_language`` rows of each language, by a hash of doc_id: a bounded, documented training sample.
+def sample(docs: DataFrame, where: Column, per_language: int) -> pd.DataFrame:
+    """About ``per_language`` rows of each language, by a hash of doc_id and text: a bounded, documented training sample.
 
-    First a pruned count of languages, then a hash threshold for each, so that no language meets in one task. At most
-    ``max_languages`` languages (the most frequent) are learned; the sample holds 1.2 * per_language * max_languages rows at most.
+    First a count of each language's distinct rows (estimated, it sets the share that is drawn), then a hash threshold for each, so that no
+    language meets in one task. Every language counts, however many there are. Repeated rows count once; the sample holds 1.2 * per_language + 50 rows a language at most.
     """
-    known = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
+    known = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("own_rows"))
+    languages = counts.count()
+    if not languages:
         return pd.DataFrame({"text": [], "lang": []})
-    u = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
-    rows = known.where(u < share).select("doc_id", "text", "lang").limit(int(1.2 * per_language * len(counts)) + 50).toPandas()
+    u = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("text")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    met = known.join(F.broadcast(counts) if languages <= 100_000 else counts, "lang")
+    rows = met.where(u < F.lit(per_language) / F.col("own_rows")).select("doc_id", "text", "lang").distinct().limit(int((1.2 * per_language + 50) * languages)).toPandas()
     return rows.sort_values(["doc_id", "lang", "text"], kind="stable").reset_index(drop=True)
 
 

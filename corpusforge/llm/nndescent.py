@@ -16,16 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import materialise
+from corpusforge.llm.common import discard, materialise
 from corpusforge.llm.graph import components
 
 BLOCK = 512
 WIDE = 2048
+LARGE = 1 << 20
 
 
 def unit(rows: pa.Array) -> np.ndarray:
-    """Rows of a list column as unit vectors in double precision."""
+    """Rows of a list column as unit vectors in double precision; a power of two keeps squares of any double within range."""
     x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if x.size else x
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -86,7 +88,7 @@ def seeds(vectors: DataFrame, tables: int, window: int, bits: int, seed: int) ->
             u, v, s = (np.concatenate([o[c] for o in out]) for c in range(3)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["u", "v", "sim"])
 
-    rows = vectors.select("id", "label", "dim", "vec").mapInArrow(sign, "t int, label int, dim int, code bigint, p double, id bigint, vec array<float>")
+    rows = vectors.select("id", "label", "dim", "vec").mapInArrow(sign, f"t int, label int, dim int, code bigint, p double, id bigint, vec {dict(vectors.dtypes)['vec']}")
     order = ["t", "label", "dim", "code", "p", "id"]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(meet, EDGES)
 
@@ -125,11 +127,13 @@ def refine(vectors: DataFrame, graph: DataFrame, k: int) -> DataFrame:
 
 
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(id, n): weighted links of each member (root, id, weight, vec) inside its component, by blocks of about BLOCK vectors.
+    """(id, n): weighted links of each member (root, id, weight, vec) inside its component, by pairs of blocks.
 
-    Every pair of a component's blocks is a group of its own with two blocks at most; only counts leave it.
+    A component of up to 16 * BLOCK vectors has blocks of BLOCK; of a larger one they grow to LARGE numbers, so its vectors are sent as
+    often as it has blocks (a million of 64 numbers: 62 times). Every pair of blocks is a group of its own; only counts leave it.
     """
-    size = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    most = F.greatest(F.lit(BLOCK), F.floor(F.lit(LARGE) / F.max(F.size("vec"))))
+    size = members.groupBy("root").agg(F.greatest(F.least(F.ceil(F.count("*") / BLOCK), F.lit(16)), F.ceil(F.count("*") / most)).cast("int").alias("blocks"))
     dealt = members.join(size, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = dealt.select("root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "id", "weight", "vec")
     rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "weight", "vec")
@@ -139,10 +143,17 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
         for g in groups(batches, 3):
             i, j = g.column(1)[0].as_py(), g.column(2)[0].as_py()
             own, name, weight, x = g.column(3).to_numpy(), g.column(4).to_numpy(), g.column(5).to_numpy(), unit(g.column(6))
-            near = x @ x.T >= threshold
-            if i != j:
-                near &= own[:, None] != own[None, :]
-            n = near @ weight - (weight if i == j else 0)  # a class's own copies are added by the caller
+            n = np.zeros(len(x), np.int64)
+            a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            y = x[b]
+            for at in range(0, len(a) if len(b) else 0, step := max(1, 4_000_000 // max(1, len(b)))):
+                some = a[at : at + step]
+                near = x[some] @ y.T >= threshold
+                n[some] += near @ weight[b]
+                if i != j:
+                    n[b] += weight[some] @ near
+            if i == j:
+                n -= weight  # a class's own copies are added by the caller
             ids.append(name), counts.append(n)
             rows += len(name)
             if rows > 50_000:
@@ -195,9 +206,11 @@ def join_roots(vectors: DataFrame, roots: DataFrame, some: DataFrame, threshold:
 
 
 def audit(vectors: DataFrame, found: DataFrame, threshold: float, queries: int, seed: int) -> float:
-    """Least recall of a bounded, seeded set of queries, which all rows are compared with: the mean share of a query's true links that
+    """Least recall of a bounded, seeded set of queries, half of them from all vectors and half from those with links, which all rows are
+    compared with: the mean share of a query's true links that
     were found, by number of true links (1, 2 to 3, 4 to 7 and so on), so that a large group can't hide what small ones lost."""
-    some = vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(queries).select("id", "label", "dim", "vec").toArrow()
+    pick = lambda df: df.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(queries // 2).select("id", "label", "dim", "vec")
+    some = pick(vectors).union(pick(vectors.join(found.where(F.col("n") > 0).select("id"), "id", "left_semi"))).distinct().toArrow()
     if not some.num_rows:
         return 1.0
     shared = vectors.sparkSession.sparkContext.broadcast((some["id"].to_numpy(), some["label"].to_numpy(), some["dim"].to_numpy(), some["vec"].to_pylist()))
@@ -224,7 +237,7 @@ def audit(vectors: DataFrame, found: DataFrame, threshold: float, queries: int,
     return 1.0 if r[0] is None else r[0]
 
 
-def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tables: int = 10, rounds: int = 5, recall: float = 0.995, queries: int = 256, seed: int = 23) -> DataFrame:
+def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tables: int = 10, rounds: int = 5, recall: float = 0.995, queries: int = 512, seed: int = 23) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row (columns vec_id, embedding, label; others aren't read).
 
     Vectors compare within equal, non-null labels and equal lengths. Null, empty or zero vectors, ones with null or non-finite
@@ -233,7 +246,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tabl
     whatever the audit says: in arithmetic, quadratic in their number within a label. If the audit finds less than ``recall``, k and the tables double, twice at most;
     if the last graph fails too, all vectors of a label are compared exactly across components (quadratic in arithmetic).
     """
-    vec = F.transform("embedding", lambda x: x.cast("float"))
+    kind = "double" if "double" in dict(table.dtypes)["embedding"] or "decimal" in dict(table.dtypes)["embedding"] else "float"
+    vec = F.transform("embedding", lambda x: x.cast(kind))
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = table.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.when(F.coalesce(ok, F.lit(False)), vec).alias("vec"), F.col("label").cast("int").alias("label"))
     good = rows.where(F.col("vec").isNotNull())
@@ -246,11 +260,12 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = 10, tabl
         for _ in range(rounds):
             better = materialise(nearest(graph.unionByName(refine(vectors, graph, k)), k))
             changed = better.join(graph, ["u", "v"], "left_anti").count()
+            discard(graph)
             graph = better
             if changed <= 0.001 * k * max(1, vectors.count()):
                 break
         near = graph.where(F.col("sim") >= threshold)
-        roots = materialise(components(near.select("u", "v")))
+        roots = components(near.select("u", "v"))
         # a link that neither end's list holds has two full lists of better ones
         full = graph.groupBy("u").agg(F.count("*").alias("c"), F.min("sim").alias("low")).where((F.col("c") >= k) & (F.col("low") >= threshold))
         roots = join_roots(vectors, roots, full.select(F.col("u").alias("id")), threshold)

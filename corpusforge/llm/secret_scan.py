@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +37,9 @@ def base_spans(text: str) -> list[tuple[Span, str]]:
 
 def candidates(text: str, base: list[tuple[Span, str]]) -> list[tuple[int, int, str]]:
     """Runs of 12 and more credential characters that no base span touches."""
-    taken = [(s, e) for (s, _, e), _ in base]
-    return [(m.start(), m.end(), m[0]) for m in RUN.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)]
+    starts = [s for (s, _, _), _ in base]
+    ends = list(accumulate((e for (_, _, e), _ in base), max, initial=-1))  # the last end of the spans before each
+    return [(m.start(), m.end(), m[0]) for m in RUN.finditer(text) if ends[bisect_left(starts, m.end())] <= m.start()]
 
 
 def spell(spans: list[Span]) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import flatten, materialise, mix, prefix_hash, release, remove, shared_dir, slices, span_hash
+from corpusforge.llm.common import discard, flatten, materialise, mix, prefix_hash, release, remove, shared_dir, slices, span_hash
 
 GRAM = 16
 WINDOW = 96
@@ -56,6 +56,25 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, h: np.ndarray, length: int) ->
     return doc, low - offsets[doc], count, shared.view(np.int64), whole.view(np.int64)
 
 
+def third(doc: np.ndarray, f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Which entries have two equal ones (f, g) before them in their document."""
+    out = np.zeros(len(doc), bool)
+    order = np.lexsort((g, f, doc))
+    same = (doc[order][2:] == doc[order][:-2]) & (f[order][2:] == f[order][:-2]) & (g[order][2:] == g[order][:-2])
+    out[order[2:][same]] = True
+    return out
+
+
+def joined_ranges(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges [s, e) in order of document and start, those that touch made one. All are about equally long."""
+    top = np.maximum.accumulate(e + doc * (int(e.max()) + 1))
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] + doc[1:] * (int(e.max()) + 1) > top[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(s)) - 1
+    return doc[first], s[first], top[last] - doc[first] * (int(e.max()) + 1)
+
+
 class SuffixFamily:
     """Levels of sorted suffix fingerprints, merged geometrically."""
 
@@ -102,20 +121,28 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
         for b in slices(it):
             buf, off = flatten(b.column(2))
             doc, low, count, f, g = anchors(buf, off, prefix_hash(buf), length)
+            twice = third(doc, f, g)
+            f, g = pa.array(f, pa.int64()), pa.array(g, pa.int64())
+            if twice.any():  # two suffixes show that a text repeats them, of others only the ranges matter
+                own, s, e = joined_ranges(doc[twice], low[twice], low[twice] + count[twice] - 1 + length)
+                f, g = (pa.concat_arrays([x.filter(pa.array(~twice)), pa.nulls(len(own), pa.int64())]) for x in (f, g))
+                doc, low, count = np.concatenate([doc[~twice], own]), np.concatenate([low[~twice], s]), np.concatenate([count[~twice], e - s - length + 1])
             pick = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(low, pa.int64()), pa.array(count, pa.int32()), pa.array(f, pa.int64()), pa.array(g, pa.int64())], ["id", "th", "low", "n", "f", "g"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(low, pa.int64()), pa.array(count, pa.int32()), f, g], ["id", "th", "low", "n", "f", "g"])
 
     entries_at = shared_dir(spark)
     entries = materialise(rows.mapInArrow(suffixes, f"id {id_type}, th bigint, low bigint, n int, f bigint, g bigint"), entries_at)
     family, hits = SuffixFamily(spark), None
+    suffixes_of = entries.where(F.col("f").isNotNull())
     for i in range(batches):
-        new = family.add(entries.where(F.pmod(F.xxhash64("th"), F.lit(batches)) == i).select("f"))
+        new = family.add(suffixes_of.where(F.pmod(F.xxhash64("th"), F.lit(batches)) == i).select("f"))
         hits = new if hits is None else hits.unionByName(new)
     hits_at, matched_at, same_at, singles_at = (shared_dir(spark) for _ in range(4))
     hits = materialise(hits.distinct(), hits_at)
     family.drop()
     release(spark)
-    matched = materialise(entries.join(hits, "f", "left_semi"), matched_at)
+    matched = materialise(suffixes_of.join(hits, "f", "left_semi"), matched_at)
+    sure = materialise(entries.where(F.col("f").isNull()))
     del new, hits
     for folder in (entries_at, hits_at, *family.found):
         remove(spark, folder)
@@ -148,9 +175,11 @@ def repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
     remove(spark, singles_at)
     release(spark)
     many = matched.join(same.where(F.col("c") > 1).select("f", "g"), ["f", "g"], "left_semi")
+    many = many.select("id", "th", "low", "n").unionByName(sure.select("id", "th", "low", "n"))
     many = materialise(many.groupBy("id", "th").agg(F.collect_list(F.struct(F.col("low").alias("s"), (F.col("low") + F.col("n") - 1 + length).alias("e"))).alias("spans")))
     remove(spark, matched_at)
     remove(spark, same_at)
+    discard(sure)
     release(spark)
     one = one.select("id", "th", F.transform("at", lambda x: F.struct(x.alias("s"), (x + length).alias("e"))).alias("spans"))
     return one.unionByName(many).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))

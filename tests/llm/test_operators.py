@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -148,6 +149,15 @@ def test_credentials_of_letters_only_are_found(spark):
     assert sum(k not in clean[i] for i, k in alone.items()) >= 18
 
 
+def test_candidates_of_a_long_log():
+    text = " ".join(f"password={'Ab3' * 5}{i:06d} run{'xY7' * 4}{i:06d}" for i in range(100_000))
+    began = time.monotonic()
+    base = secret_scan.base_spans(text)
+    found = secret_scan.candidates(text, base)
+    assert (len(base), len(found)) == (100_000, 100_000) and time.monotonic() - began < 30
+    assert all(v.startswith("run") for _, _, v in found)
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randint(0, 60)) or None, rng.choice(["b", "a", "c", None])) for i in range(300)] + [(400 + i, "w " * 50, "d") for i in range(3)]
@@ -223,6 +233,19 @@ def test_nn_descent(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_nn_descent_keeps_double_precision(spark):
+    rows = [(0, [1e-50, 2e-50], 1), (1, [1e300, 2e300], 1), (2, [1e300, -2e300], 1), (3, [5e-324, 1e-323], 1), (4, [1.0, 2.0 + 1e-12], 1)]
+    got = nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {0: (3, 0), 1: (3, 0), 2: (0, 2), 3: (3, 0), 4: (3, 0)}
+
+
+def test_links_of_a_large_clique(spark):
+    x = np.random.default_rng(3).normal(size=8) + np.random.default_rng(4).normal(size=(9000, 8)) * 1e-3
+    df = spark.createDataFrame([(0, i, 1 + i % 2, [float(v) for v in r]) for i, r in enumerate(x)], "root long, id long, weight long, vec array<double>")
+    got = nndescent.count_links(df, 0.98).collect()
+    assert len(got) == 9000 and all(r.n == 13_500 - (1 + r.id % 2) for r in got)
+
+
 def test_nn_descent_joins_groups_whose_lists_are_full(spark):
     rng = np.random.default_rng(16)
     a, side = rng.normal(size=16), rng.normal(size=16)
@@ -297,8 +320,10 @@ def test_jaccard(spark, k, percent):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame(spark, rows).repartition(3), k, percent).collect()) == want
 
 
-def test_suffix(spark):
-    rows = texts()
+@pytest.mark.parametrize("batches", [1, 4, 7, 16])
+def test_suffix(spark, monkeypatch, batches):
+    monkeypatch.setattr(suffix.repeats, "__defaults__", (*suffix.repeats.__defaults__[:-1], batches))
+    rows = [*texts(), (70, "a" * 6000), (71, "xyz" * 700 + "q" + "xyz" * 200), (72, prose(random.Random(2), 100) + "ab" * 1500), (None, "a" * 401)]
     got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.deduplicate(frame(spark, rows)).collect())
     raw = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
@@ -342,6 +367,15 @@ def test_language(spark):
     assert langid.predict(df.select("doc_id", "text"), langid.fit(df.limit(0), F.lit(True))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 300) * 6} {chr(0x4E00 + i % 300) * 4} w{i}", f"l{i % 300:03d}") for i in range(2400)]
+    rows += [(9999, rows[0][1], "l000")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(df, F.lit(True), 10)
+    assert got["lang"].nunique() == 300 and got["lang"].value_counts().max() <= 9 and not got.duplicated().any()
+    assert len(langid.fit(df, F.lit(True), 10, epochs=1).languages) == 300
+
+
 def test_quality(spark):
     rng = random.Random(14)
     rows = [(i, prose(rng, 40) if i % 3 else prose(rng, 40).replace(" ", "### ").upper()) for i in range(240)] + [(300, None), (301, "")]
