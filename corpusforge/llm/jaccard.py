@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, LongType, StructField, StructType
 
 from corpusforge.llm.common import discard, flatten, materialise, mix, release, repeatable, shingle_hashes, slices, unique_by_doc, word_hashes
 from corpusforge.llm.graph import components
@@ -153,10 +154,12 @@ def _counted(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("at").applyInArrow(run, "block bigint, at bigint, kind int, data binary, counts binary")
 
 
-def _signed(counted: DataFrame, percent: int, id_type: str) -> DataFrame:
+def _signed(counted: DataFrame, percent: int, id_type: DataType) -> DataFrame:
     """row, id, n (set size), k1, k2 (set keys), tokens: names of those of the first n - ceil(percent * n / 100) + 1 shingles in global
     order that other documents have too, and first: the place of the first of them. Only one of equal sets in a block has tokens."""
 
+    schema = StructType([StructField("row", LongType()), StructField("id", id_type), *(StructField(c, LongType()) for c in ("n", "k1", "k2", "first")), StructField("tokens", ArrayType(LongType()))])
+
     def run(t: pa.Table) -> pa.Table:
         kind = t.column("kind").to_numpy()
         rows = pa.ipc.open_stream(t.filter(pa.array(kind == 0)).column("data")[0].as_buffer()).read_all()
@@ -187,7 +190,7 @@ def _signed(counted: DataFrame, percent: int, id_type: str) -> DataFrame:
         pick = np.arange(ends[-1]) + np.repeat(at[:-1] - ends[:-1], size)
         return pa.table([*(rows.column(c) for c in ("row", "id", "n", "k1", "k2")), pa.array(first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(name[pick]))], names=["row", "id", "n", "k1", "k2", "first", "tokens"])
 
-    return counted.groupBy("block").applyInArrow(run, f"row bigint, id {id_type}, n bigint, k1 bigint, k2 bigint, first bigint, tokens array<bigint>")
+    return counted.groupBy("block").applyInArrow(run, schema)
 
 
 def signatures(rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -196,7 +199,7 @@ def signatures(rows: DataFrame, k: int, percent: int) -> DataFrame:
     spark = rows.sparkSession
     parts = max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = min(max((4 * parts - 1).bit_length(), 6), 22)
-    return _signed(_counted(_blocks(rows, k, bits)), percent, dict(rows.dtypes)["id"])
+    return _signed(_counted(_blocks(rows, k, bits)), percent, rows.schema["id"].dataType)
 
 
 def fragments(texts: DataFrame, k: int) -> DataFrame:
