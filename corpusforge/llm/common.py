@@ -44,14 +44,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/cf-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, folder: str | None = None) -> DataFrame:
+def tasks(spark: SparkSession, rows: int) -> int:
+    """How many tasks write so many narrow rows: one for each 50,000, as many as shuffles have at most."""
+    return max(1, min(-(-rows // 50_000), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def materialise(df: DataFrame, folder: str | None = None, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
+    ``rows``: about how many narrow rows that takes at most, where it is known; few rows make few files then.
     The folder goes with :func:`discard`, or else, as a lazy result may still read it, when the driver's Python ends.
     """
     spark = df.sparkSession
     folder = folder or shared_dir(spark)
     _kept[folder] = spark
+    if rows is not None:
+        df = df.coalesce(tasks(spark, rows))
     df.write.mode("overwrite").parquet(folder)
     out = spark.read.schema(df.schema).parquet(folder)
     out._folder = folder

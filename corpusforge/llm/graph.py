@@ -15,7 +15,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     written, so a lost executor repeats one round at most. Rounds grow with the logarithm of a component's size; not to end within
     ``rounds`` is an error.
     """
-    e = materialise(edges.select("u", "v").where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    rows = edges.count()  # no round has more edges than before
+    e = materialise(edges.select("u", "v").where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows=rows)
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,7 +26,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: a node and its neighbours below go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        old, e = e, materialise(small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, materialise(small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), rows=rows)
         discard(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -33,6 +34,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components didn't settle within {rounds} rounds")
-    out = materialise(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    out = materialise(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), rows=2 * rows)
     discard(e)
     return out

@@ -270,43 +270,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sig = materialise(signatures(rows, k, percent))
     release(spark)
     full = sig.where(F.col("n") > 0)
-    classes = materialise(full.groupBy("k1", "k2").agg(F.min("row").alias("cls"), F.min(F.struct(F.col("id").isNull(), "id")).getField("id").alias("id")))
+    total, size = sig.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    classes = materialise(full.groupBy("k1", "k2").agg(F.min("row").alias("cls"), F.min(F.struct(F.col("id").isNull(), "id")).getField("id").alias("id")), rows=total)
     # a class's least row is the first of its sets in its block, and so has tokens
     tokens = full.where(F.size("tokens") > 0).join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
     tokens = tokens.select(F.col("row").alias("cls"), "n", "first", F.posexplode("tokens").alias("i", "h")).select("h", "cls", "n", (F.col("first") + F.col("i")).alias("pos"))
     # in the smaller set of a pair, the shingle is among the first n - ceil(2 * percent * n / (100 + percent)) + 1
     early = (100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")
-    tokens = materialise(tokens.withColumn("early", early))
+    tokens = materialise(tokens.withColumn("early", early), rows=size)
     useful = tokens.groupBy("h").agg(F.count("*").alias("c"), F.max("early").alias("early")).where((F.col("c") > 1) & F.col("early")).select("h")
-    buckets = materialise(tokens.join(useful, "h", "left_semi"))
+    buckets = materialise(tokens.join(useful, "h", "left_semi"), rows=size)
     discard(tokens)
-    wanted = materialise(buckets.select("cls").distinct().join(classes.select("cls", "k1", "k2"), "cls"))
+    wanted = materialise(buckets.select("cls").distinct().join(classes.select("cls", "k1", "k2"), "cls"), rows=min(total, size))
     few = wanted.count() <= FEW
     parts = materialise(fragments(rows.join(F.broadcast(wanted) if few else wanted, F.col("row") == F.col("cls")), k))
     release(spark)
     discard(wanted, *own)
 
-    roots, tried, size = None, None, buckets.count()
+    roots, tried, size = None, None, buckets.count()  # the tokens that count
     for i in range(STAR_ROUNDS + 1):
         if roots is None:
             rooted = buckets.withColumn("root", F.col("cls"))
         else:
             rooted = buckets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        rooted = materialise(rooted)
+        rooted = materialise(rooted, rows=size)
         # of each component in a bucket, the member with the fewest shingles before this one links with most of the others; or any one
         order = F.col("pos") / F.col("n") if i % 2 == 0 else F.lit(0.0)
         member = F.min(F.struct(order.alias("o"), F.xxhash64(F.lit(i), "h", "cls").alias("x"), "cls", "n", "pos")).alias("m")
         members = rooted.groupBy("h", "root").agg(F.count("*").alias("c"), F.max("early").alias("early"), member)
-        members = materialise(members.select("h", "root", "c", "early", "m.*"))
+        members = materialise(members.select("h", "root", "c", "early", "m.*"), rows=size)
         centre = F.min(F.struct((-F.col("c")).alias("c"), "o", "x", "cls", "n", "pos", "root")).alias("m")
         apart = F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))
         open_ = members.groupBy("h").agg(centre, F.count("*").alias("roots"), F.max("early").alias("early"), apart.cast("double").alias("apart")).where((F.col("roots") > 1) & F.col("early"))
-        open_ = materialise(open_.select("h", "m.cls", "m.n", "m.pos", "m.root", "apart"))
-        last = i == STAR_ROUNDS or (open_.agg(F.sum("apart")).first()[0] or 0) <= size
+        open_ = materialise(open_.select("h", "m.cls", "m.n", "m.pos", "m.root", "apart"), rows=size)
+        left = open_.agg(F.sum("apart")).first()[0] or 0
+        last = i == STAR_ROUNDS or left <= size
         other = F.col("cls").alias("v"), F.col("n").alias("n_v"), F.col("pos").alias("pos_v"), F.col("root").alias("root_v")
         if last:
-            left = rooted.join(open_.select("h"), "h", "left_semi")
-            found = left.join(left.where("early").select("h", *other), "h")
+            rest = rooted.join(open_.select("h"), "h", "left_semi")
+            found = rest.join(rest.where("early").select("h", *other), "h")
         else:
             found = members.join(open_.select("h", *other), "h")
         ok = (F.col("root") != F.col("root_v")) & _may_link(percent, F.col("n"), F.col("pos"), F.col("n_v"), F.col("pos_v"))
@@ -315,10 +317,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         found = found.where(ok).select(one("cls", "v").alias("u"), one("v", "cls").alias("v"), one("n", "n_v").alias("n_u"), one("n_v", "n").alias("n_v"), F.lit(False).alias("old"))
         if tried is not None:
             found = found.unionByName(tried.withColumn("old", F.lit(True)))
-        found = materialise(found.groupBy("u", "v", "n_u", "n_v").agg(F.max("old").alias("old")).where(~F.col("old")).drop("old"))
+        found = materialise(found.groupBy("u", "v", "n_u", "n_v").agg(F.max("old").alias("old")).where(~F.col("old")).drop("old"), rows=int(left if last else size))
         if not found.isEmpty():
             tried = found if tried is None else tried.unionByName(found)
-            new = materialise(verify(found, parts, percent))
+            new = materialise(verify(found, parts, percent), rows=FRAGMENTS * found.count())
             if not new.isEmpty():
                 links = new if roots is None else new.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
                 before, roots = roots, components(links)
