@@ -18,11 +18,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import slices
+from corpusforge.llm.common import slices, tidy
 
 NONE = np.int32(2**31 - 1)
 LONG_PIECE = 256
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 _MODELS: dict[int, BytePairModel] = {}
 
 
@@ -201,6 +201,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     schema = f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         m = model(raw.value, pattern)
         for b in slices(batches):
             ids, at = m.encode_texts(b.column(1).to_pylist())

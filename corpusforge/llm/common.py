@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import os
 import re
@@ -218,6 +219,13 @@ def unique_by_doc(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.n
     return v[keep], d[keep]
 
 
+def tidy() -> None:
+    """Give memory that a worker has freed back to the machine; workers live on for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than GNU's have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames nobody refers to any more, instead of when the driver happens to collect garbage."""
     gc.collect()

@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, LongType, StructField, StructType
 
-from corpusforge.llm.common import discard, flatten, materialise, mix, release, repeatable, shingle_hashes, slices, unique_by_doc, word_hashes
+from corpusforge.llm.common import discard, flatten, materialise, mix, release, repeatable, shingle_hashes, slices, tidy, unique_by_doc, word_hashes
 from corpusforge.llm.graph import components
 
 FRAGMENTS = 8  # of the sets, in verification
-BLOCK = 2_000_000  # shingles that a task sorts at once
+BLOCK = 1_000_000  # shingles that a task sorts at once
 LOW_BITS = 40  # of a shingle's name within its fragment, in counting
 OFTEN = 8  # a shingle that more documents of a block have goes to its fragment once, with their number
 STAR_ROUNDS = 3
@@ -120,6 +120,7 @@ def _blocks(docs: DataFrame, k: int, bits: int) -> DataFrame:
                     yield flush()
         if held:
             yield flush()
+        tidy()
 
     return docs.mapInArrow(run, "at bigint, block bigint, kind int, data binary, counts binary")
 
@@ -148,6 +149,7 @@ def _counted(blocks: DataFrame) -> DataFrame:
             cut = np.searchsorted(owner, np.arange(t.num_rows + 1))
             full = np.flatnonzero(np.diff(cut))
             out.append(pa.table([t.column("block").take(pa.array(full)), t.column("at").take(pa.array(full)), pa.array(np.full(len(full), 2, np.int32)), pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()), pa.array([b""] * len(full), pa.binary())], names=["block", "at", "kind", "data", "counts"]))
+        tidy()
         return pa.concat_tables([x.cast(schema) for x in out])
 
     schema = pa.schema([("block", pa.int64()), ("at", pa.int64()), ("kind", pa.int32()), ("data", pa.binary()), ("counts", pa.binary())])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from corpusforge.llm.common import LOWER, flatten, fresh, slices
+from corpusforge.llm.common import LOWER, flatten, fresh, slices, tidy
 
 GRAMS = (3, 4)
 _FOLD = LOWER.copy()
@@ -191,5 +191,6 @@ def predict(docs: DataFrame, m: LanguageModel, text_col: str = "text", pred_col:
             names = [m.languages[i] if k else "und" for i, k in zip(best.tolist(), ok.tolist(), strict=True)]
             cols = [b.column(i) for i in range(last)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(score), pa.array(~ok | (score < m.threshold))], [*kept, pred_col, score_col, reject_col])
+        tidy()
 
     return df.mapInArrow(run, schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from corpusforge.llm.common import materialise, slices
+from corpusforge.llm.common import materialise, slices, tidy
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -210,6 +210,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 base.append([{"s": s, "k": k, "e": e, "v": v} for (s, k, e), v in found])
                 cand.append([{"s": s, "k": 3, "e": e, "v": v} for s, e, v in candidates(t, found)] if t else [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, kind), pa.array(cand, kind)], [id_col, "base", "cand"])
+        tidy()
 
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, base {one}, cand {one}")
 
@@ -281,5 +282,6 @@ def redact(docs: DataFrame, m: SecretModel, text_col: str = "text", mark: str =
             if length_col in names:
                 cols[names.index(length_col)] = pa.array([None if t is None else len(t) for t in text], pa.int64())
             yield pa.RecordBatch.from_arrays(cols, names)
+        tidy()
 
     return docs.mapInArrow(run, schema)
