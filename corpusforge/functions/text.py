@@ -205,5 +205,12 @@ def parse_register(c: Column, dim: str) -> Column:
 
 
 def ngrams(ws: Column, n: int) -> Column:
-    """Word n-grams joined by a space; none where there are fewer than n words."""
-    return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Word n-grams joined by a space; none where there are fewer than n words. ``ws`` is evaluated once a row."""
+    one = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return let(ws, one)
+
+
+def ngram_hashes(ws: Column, n: int) -> Column:
+    """As :func:`ngrams`, each n-gram as a pair of independent 64-bit hashes: 16 bytes to shuffle, whatever the words' lengths."""
+    pair = lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(F.lit(n), g).alias("b"))
+    return F.transform(ngrams(ws, n), pair)

@@ -21,10 +21,52 @@ def cap_frequency(df: DataFrame, key: Column, order: Sequence[str], cap: int) ->
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= cap).drop("_r")
 
 
-def budget(df: DataFrame, part: str, cost: Column, order: Sequence[str], limit: Column) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows to all cores where the input has fewer splits than there are (one row group, say), for chains that are all computing."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def bucketed(df: DataFrame, by: Sequence[str], order: str, buckets: int = 64) -> DataFrame:
+    """Append ``_bucket``: ranges of the numeric column ``order`` in each group ``by``, about equally full; equal values share one."""
+    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = df.groupBy(*by).agg(F.percentile_approx(order, steps, F.lit(1000)).alias("_cuts"))
+    names = [f"_by{i}" for i in range(len(by))]
+    cuts = cuts.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], "_cuts")
+    on = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)]
+    met = df.join(cuts, on) if on else df.join(F.broadcast(cuts))  # one row
+    return met.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts", *names)
+
+
+def prefix_sum(df: DataFrame, by: Sequence[str], order: str, value: Column, name: str, buckets: int = 64) -> DataFrame:
+    """Append ``name``: the sum of ``value`` over the rows of the same group before this one. Ranges are summed first, so a task orders a
+    range of a group at most, never all of it; ``order`` should be unique in a group."""
+    df = bucketed(df.withColumn("_value", value), by, order, buckets)
+    sums = df.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_sum"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    names = [f"_key{i}" for i in range(len(by))]
+    sums = sums.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("_bucket").alias("_range"), "_before")
+    on = [F.col("_bucket") == F.col("_range"), *[F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)]]
+    inside = F.sum("_value").over(Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return df.join(sums, on).withColumn(name, F.coalesce(inside, F.lit(0)) + F.col("_before")).drop("_value", "_bucket", "_range", "_before", *names)
+
+
+def runs(df: DataFrame, order: str, value: str, name: str, buckets: int = 64) -> DataFrame:
+    """Append ``name``: the number of the run of equal ``value`` (from 1) in the order of a unique numeric column. Ranges know the last
+    value before them, so no task orders the whole table."""
+    df = bucketed(df, (), order, buckets)
+    ends = df.groupBy("_bucket").agg(F.max_by(value, order).alias("_last"))
+    ends = ends.withColumn("_carry", F.lag("_last").over(Window.orderBy("_bucket"))).select(F.col("_bucket").alias("_range"), "_carry")
+    own = Window.partitionBy("_bucket").orderBy(order)
+    df = df.withColumn("_first", F.row_number().over(own) == 1).withColumn("_prev", F.lag(value).over(own))
+    df = df.join(F.broadcast(ends), F.col("_bucket") == F.col("_range"))  # a row a range
+    new = F.coalesce(F.col(value) != F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev")), F.lit(True)).cast("int")
+    return prefix_sum(df.withColumn("_new", new).drop("_bucket", "_range"), (), order, F.col("_new"), "_at", buckets).withColumn(name, (F.col("_at") + F.col("_new")).cast("bigint")).drop("_at", "_new", "_first", "_prev", "_carry")
+
+
+def budget(df: DataFrame, part: str, cost: Column, order: str, limit: Column) -> DataFrame:
     """Rows of each part until their cost reaches ``limit``, the row that crosses it included."""
-    before = F.sum(cost).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_b", F.coalesce(before, F.lit(0))).where(F.col("_b") < limit).drop("_b")
+    return prefix_sum(df, [part], order, cost, "_b").where(F.col("_b") < limit).drop("_b")
 
 
 def split_by_hash(text: Column, share: float) -> Column:
@@ -40,7 +82,7 @@ def windows(tokens: DataFrame, doc_col: str, token_col: str, length: int, by: Se
     the group-by, so each window gathers ``length`` + 1 tokens.
     """
     own = tokens.withColumn("_n", F.size(token_col))
-    own = own.withColumn("_at", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(doc_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = prefix_sum(own, by, doc_col, F.col("_n"), "_at")
     each = own.select(*by, "_at", F.posexplode(token_col).alias("_i", "_t")).withColumn("_p", F.col("_at") + F.col("_i"))
     first = F.floor(F.col("_p") / length)
     # a token that begins a window is the last label of the one before

@@ -91,15 +91,18 @@ def refine_status(lexicon: DataFrame, counts: DataFrame, total: int) -> DataFram
 
 
 def merge_curated(lexicon: DataFrame, curated: DataFrame) -> DataFrame:
-    """Upsert of curated terms (term, definition, example): known ones become current with a recency of 0.8 at least, new ones start at 0.85."""
-    c = curated.dropDuplicates(["term"]).select("term", F.col("definition").alias("_d"), F.col("example").alias("_e"), F.lit(True).alias("_c"))
+    """Upsert of curated terms (term, definition, example and, if there is one, the flag drifted: a common word with a new sense). Known ones
+    become current with a recency of 0.8 (drifted 0.9) at least; new ones start at 0.85 (0.95) and a score of 50 (60)."""
+    drifted = F.coalesce(F.col("drifted"), F.lit(False)) if "drifted" in curated.columns else F.lit(False)
+    c = curated.dropDuplicates(["term"]).select("term", F.col("definition").alias("_d"), F.col("example").alias("_e"), drifted.alias("_c"))
     both = lexicon.join(c, "term", "full_outer")
-    new, cur = F.col("status").isNull(), F.coalesce("_c", F.lit(False))
+    new, cur = F.col("status").isNull(), F.col("_c").isNotNull()
+    by = lambda odd, plain: F.when(F.col("_c"), odd).otherwise(plain)
     return both.select(
         "term",
         F.when(cur, "current").otherwise(F.col("status")).alias("status"),
-        F.when(new, 0.85).when(cur, F.greatest("recency_weight", F.lit(0.8))).otherwise(F.col("recency_weight")).alias("recency_weight"),
-        F.when(new, 50.0).otherwise(F.col("median_score")).alias("median_score"),
+        F.when(new, by(0.95, 0.85)).when(cur, F.greatest("recency_weight", by(0.9, 0.8))).otherwise(F.col("recency_weight")).alias("recency_weight"),
+        F.when(new, by(60.0, 50.0)).otherwise(F.col("median_score")).alias("median_score"),
         F.coalesce("definition", "_d").alias("definition"),
         F.coalesce("example", "_e").alias("example"),
         F.when(new, "curated").otherwise("dated").alias("source"),
@@ -110,3 +113,32 @@ def usable(term: Column, definition: Column, example: Column) -> Column:
     """Whether a multiple-choice item can be made of an entry."""
     n = F.size(F.filter(F.split(definition, r"\s+"), lambda w: w != ""))
     return (F.coalesce(definition, F.lit("")) != "") & (F.coalesce(example, F.lit("")) != "") & n.between(3, 40) & F.lower(example).contains(F.lower(F.split(term, r"\s+")[0]))
+
+
+def term_zipf(terms: DataFrame, zipf: DataFrame, term_col: str = "term") -> DataFrame:
+    """terms with zipf: the largest of its words' frequencies (word, zipf), 0 where none is known."""
+    each = terms.select(term_col).distinct().select(term_col, F.explode(F.split(term_col, r"\s+")).alias("word"))
+    top = each.join(zipf, "word", "left").groupBy(term_col).agg(F.coalesce(F.max("zipf"), F.lit(0.0)).alias("zipf"))
+    return terms.join(top, term_col, "left")
+
+
+def foreign(zipf: DataFrame) -> DataFrame:
+    """Distinct words of (word, lang, zipf) that are frequent (3 and more) in some other language and not in English (below 2.5)."""
+    top = zipf.groupBy("word").agg(F.max(F.when(F.col("lang") == "en", F.col("zipf"))).alias("_en"), F.max(F.when(F.col("lang") != "en", F.col("zipf"))).alias("_other"))
+    return top.where((F.coalesce("_en", F.lit(0.0)) < 2.5) & (F.col("_other") >= 3.0)).select("word")
+
+
+def emerging(recent: DataFrame, baseline: DataFrame, known: DataFrame, english: DataFrame, foreign_words: DataFrame, min_rate: float = 20.0, min_growth: float = 3.0) -> DataFrame:
+    """(term, rate, old_rate) of terms that a recent corpus (term, n) brings up: letters only, 3 to 20 of them, not foreign, at min_rate a
+    million and more. An English word counts only if the lexicon (term) has a sense of it and it grew against the baseline (term, n);
+    any other only if the lexicon lacks it. Totals are one row; the other sides are joined by term."""
+    total = recent.agg(F.sum("n").alias("_r")).join(baseline.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_b")))
+    flag = lambda df, name: df.select(F.col(df.columns[0]).alias("term")).distinct().withColumn(name, F.lit(True))
+    r = recent.where(F.length("term").between(3, 20) & F.col("term").rlike(r"^\p{L}+$")).join(F.broadcast(total))
+    r = r.withColumn("rate", F.col("n") * 1e6 / F.col("_r")).where(F.col("rate") >= min_rate)
+    r = r.join(flag(foreign_words, "_f"), "term", "left_anti").join(baseline.withColumnRenamed("n", "_old"), "term", "left")
+    r = r.join(flag(known, "_k"), "term", "left").join(flag(english, "_e"), "term", "left")
+    old = F.when(F.col("_b") > 0, F.coalesce("_old", F.lit(0)) * 1e6 / F.col("_b"))
+    grown = old.isNotNull() & F.col("_k").isNotNull() & ((old == 0) | (F.col("rate") / old >= min_growth))
+    r = r.where(F.when(F.col("_e").isNotNull(), F.coalesce(grown, F.lit(False))).otherwise(F.col("_k").isNull()))
+    return r.select("term", "rate", F.coalesce(old, F.lit(0.0)).alias("old_rate"))

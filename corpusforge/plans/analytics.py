@@ -5,14 +5,12 @@ SQL that both engines read is stated once; tables stand in braces.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions import resources as R
+from corpusforge.operators import corpus as C
+from corpusforge.operators import evaluation as E
 from corpusforge.operators import lexicon as L
 from corpusforge.plans.registry import query, sql, table
 
@@ -29,15 +27,6 @@ def both(name: str, text: str, **swap: tuple[str, str]) -> None:
 
 # --- splits, budgets and mixtures --------------------------------------------------------------------------------------
 
-both(
-    "token_budget_by_source",
-    """
-    SELECT source, CAST(count(*) AS BIGINT) AS docs, CAST(sum(tok) AS BIGINT) AS tokens FROM (
-        SELECT source, tok, coalesce(sum(tok) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-        FROM (SELECT source, doc_id, CAST(floor(n_chars / 5 * 1.35) AS BIGINT) AS tok FROM {documents})
-    ) WHERE before < 15000 GROUP BY source
-    """,
-)
 both(
     "byte_mixture_sample",
     """
@@ -52,39 +41,7 @@ both(
 both("pool_reassign", "SELECT pool, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN lang <> 'en' THEN lang WHEN n_chars % 5 >= 2 THEN 'genz' ELSE 'internet' END AS pool FROM {documents}) GROUP BY pool")
 both("tokens_by_pool", "SELECT lang, CAST(sum(tok) AS BIGINT) AS tokens, round(1e2 * sum(tok) / sum(sum(tok)) OVER (), 6) AS share FROM (SELECT lang, CAST(floor(n_chars * 1.35) AS BIGINT) AS tok FROM {documents}) GROUP BY lang")
 both("modulo_fanout", "SELECT CAST(doc_id % 7 AS BIGINT) AS shard, CAST(count(*) AS BIGINT) AS n FROM {documents} GROUP BY doc_id % 7")
-both(
-    "curriculum_quota",
-    """
-    WITH n AS (SELECT lang, count(*) AS n FROM {documents} GROUP BY lang),
-    s AS (SELECT 0 AS ord, 'S1' AS stage, 0.667 AS share UNION ALL SELECT 1, 'S2', 0.3 UNION ALL SELECT 2, 'S3', 0.033),
-    w AS (SELECT lang, ord, stage, n, CAST(floor(floor(n * CAST(share AS DOUBLE)) * 0.9) AS BIGINT) AS want FROM n CROSS JOIN s)
-    SELECT lang, stage, CAST(least(want, greatest(n - coalesce(sum(want) OVER (PARTITION BY lang ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS BIGINT) AS quota FROM w
-    """,
-)
-both(
-    "stage_assignment",
-    """
-    SELECT stage, lang, CAST(count(*) AS BIGINT) AS docs FROM (
-        SELECT lang, CASE WHEN r <= floor(n * 0.6) THEN 'S1' WHEN r <= floor(n * 0.9) THEN 'S2' ELSE 'S3' END AS stage
-        FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM {documents})
-    ) GROUP BY stage, lang
-    """,
-)
 both("shard_boundaries", "SELECT doc_id, CAST(floor((sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) - 1) / 50000) AS BIGINT) AS shard FROM {documents}")
-both(
-    "packed_windows",
-    """
-    SELECT lang, CAST(floor((total - 1) / 512) AS BIGINT) AS windows, CAST(total - floor((total - 1) / 512) * 512 AS BIGINT) AS tail
-    FROM (SELECT lang, sum(n_chars + 1) AS total FROM {documents} GROUP BY lang)
-    """,
-)
-both(
-    "document_ids",
-    """
-    SELECT doc_id, CAST(floor(s / 4096) AS BIGINT) AS win, CAST(row_number() OVER (PARTITION BY lang, floor(s / 4096) ORDER BY s) - 1 AS BIGINT) AS id_in_window
-    FROM (SELECT doc_id, lang, coalesce(sum(n_chars + 1) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM {documents})
-    """,
-)
 both("round_robin_pick", "SELECT doc_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat('r', CAST(doc_id AS $str)))) AS r FROM {documents}) ORDER BY r, source LIMIT 55", str=("STRING", "VARCHAR"))
 both(
     "manifest_order",
@@ -98,15 +55,20 @@ both(
     str=("STRING", "VARCHAR"),
 )
 both("stratified_sample", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS $str))) AS r FROM {documents} WHERE n_chars BETWEEN 40 AND 600) WHERE r <= 12", str=("STRING", "VARCHAR"))
-both(
-    "stage_run_shuffle",
+
+
+@query(
     """
-    SELECT event_id, CAST(island AS BIGINT) AS island, CAST(row_number() OVER (PARTITION BY island ORDER BY md5(concat('3|', CAST(event_id AS $str)))) AS BIGINT) AS pos FROM (
+    SELECT event_id, CAST(island AS BIGINT) AS island, CAST(row_number() OVER (PARTITION BY island ORDER BY md5(concat('3|', CAST(event_id AS VARCHAR)))) AS BIGINT) AS pos FROM (
         SELECT event_id, sum(CASE WHEN event_type = prev THEN 0 ELSE 1 END) OVER (ORDER BY event_id) AS island
-        FROM (SELECT event_id, event_type, lag(event_type) OVER (ORDER BY event_id) AS prev FROM {events} WHERE user_id = 7))
-    """,
-    str=("STRING", "VARCHAR"),
+        FROM (SELECT event_id, event_type, lag(event_type) OVER (ORDER BY event_id) AS prev FROM events))
+    """
 )
+def stage_run_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = C.runs(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", "event_type", "island")
+    order = F.md5(F.concat(F.lit("3|"), F.col("event_id").cast("string")))
+    return e.select("event_id", "island", F.row_number().over(Window.partitionBy("island").orderBy(order)).cast("bigint").alias("pos"))
+
 
 # --- schedules -----------------------------------------------------------------------------------------------------------
 
@@ -122,7 +84,7 @@ both(
     steps=("(SELECT explode(sequence(0, 219)) AS s)", "(SELECT unnest(range(220)) AS s)"),
 )
 both("curriculum_boundaries", "SELECT stage, CAST(floor(f * 25757) AS BIGINT) AS until_step FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS stage, CAST({f} AS DOUBLE) AS f" for s, f, _ in R.CURRICULUM) + ") t")
-both("stage_of_step", "SELECT CAST(floor(event_id / 100) AS BIGINT) AS block, min(CASE WHEN event_id / 10000.0 < 0.667 THEN 'S1' WHEN event_id / 10000.0 < 0.967 THEN 'S2' ELSE 'S3' END) AS stage FROM {events} GROUP BY floor(event_id / 100)")
+both("stage_of_step", "SELECT event_id, CASE WHEN event_id < floor(0.667 * n) THEN 'S1' WHEN event_id < floor(0.967 * n) THEN 'S2' ELSE 'S3' END AS stage FROM {events} CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM {events}) t")
 
 # --- lexicon (event type and user stand for a term, value for a score) -------------------------------------------------
 
@@ -147,17 +109,25 @@ both(
     """,
     days=("(datediff(DATE'2024-06-01', d) + user_id * 40)", "(date_diff('day', d, DATE '2024-06-01') + user_id * 40)"),
 )
-both(
-    "lexicon_merge_upsert",
-    f"""
-    WITH l AS (SELECT {_TERM} AS term, round(avg(value), 4) AS recency FROM {{events}} WHERE user_id < 20 GROUP BY {_TERM}),
-    c AS (SELECT 'click_1' AS term UNION ALL SELECT 'view_3' UNION ALL SELECT 'rizz')
+
+@query(
+    """
+    WITH l AS (SELECT concat(event_type, '_', CAST(user_id AS VARCHAR)) AS term, max(value) AS recency, CAST(count(*) AS DOUBLE) AS median FROM events GROUP BY 1),
+    c(term, definition, drifted) AS (VALUES ('click_1', 'one', false), ('view_3', 'three', true), ('brand new', 'new', false), ('odd sense', 'odd', true))
     SELECT coalesce(l.term, c.term) AS term, CASE WHEN c.term IS NOT NULL THEN 'current' ELSE 'aging' END AS status,
-           CASE WHEN c.term IS NULL THEN l.recency WHEN l.term IS NULL THEN 0.85 ELSE greatest(l.recency, 0.8) END AS recency
+           CASE WHEN c.term IS NULL THEN recency / 100 WHEN l.term IS NULL THEN CASE WHEN drifted THEN 0.95 ELSE 0.85 END ELSE greatest(recency / 100, CASE WHEN drifted THEN 0.9 ELSE 0.8 END) END AS recency_weight,
+           CASE WHEN l.term IS NOT NULL THEN median WHEN drifted THEN 60 ELSE 50 END AS median_score,
+           CASE WHEN l.term IS NULL THEN definition ELSE 'd' END AS definition, CASE WHEN l.term IS NULL THEN 'curated' ELSE 'dated' END AS source
     FROM l FULL OUTER JOIN c ON l.term = c.term
-    """,
-    str=("STRING", "VARCHAR"),
+    """
 )
+def lexicon_merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy(F.concat_ws("_", "event_type", F.col("user_id").cast("string")).alias("term")).agg((F.max("value") / 100).alias("recency_weight"), F.count("*").cast("double").alias("median_score"))
+    lexicon = e.select("*", F.lit("aging").alias("status"), F.lit("d").alias("definition"), F.lit("e").alias("example"))
+    curated = [("click_1", "one", "", False), ("view_3", "three", "", True), ("brand new", "new", "", False), ("odd sense", "odd", "", True)]
+    return L.merge_curated(lexicon, spark.createDataFrame(curated, "term string, definition string, example string, drifted boolean")).drop("example")
+
+
 both("rate_per_million", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(count(*) * 1e6 / sum(count(*)) OVER (), 3) AS rate FROM {events} GROUP BY event_type")
 both("lexicon_stats_rollup", "SELECT coalesce(status, 'all') AS status, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN value < 20 THEN 'dead' WHEN value < 60 THEN 'aging' ELSE 'current' END AS status FROM {events}) GROUP BY ROLLUP (status)")
 both("year_histogram", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, CAST(count(*) AS BIGINT) AS n FROM {orders} GROUP BY year(o_orderdate)")
@@ -187,15 +157,18 @@ def lexicon_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.build(e, F.lit("2029-01-01").cast("date")).drop("definition", "example")
 
 
-both(
-    "distractor_topk",
+@query(
     """
     SELECT target, other, CAST(r AS BIGINT) AS place FROM (
         SELECT a.p_partkey AS target, b.p_partkey AS other, row_number() OVER (PARTITION BY a.p_partkey ORDER BY abs(length(a.p_name) - length(b.p_name)), abs(a.p_size - b.p_size), b.p_partkey) AS r
-        FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND abs(length(a.p_name) - length(b.p_name)) <= 3
+        FROM part a JOIN part b ON a.p_partkey <> b.p_partkey
     ) WHERE r <= 3
-    """,
+    """
 )
+def distractor_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.length("p_name").alias("x"), F.col("p_size").alias("y"))
+    return E.nearest(p, 3).select(F.col("id").alias("target"), "other", "place")
+
 
 # --- evaluation ------------------------------------------------------------------------------------------------------------
 
@@ -231,7 +204,6 @@ both("props_json_extract", "SELECT event_id, CAST($k AS BIGINT) AS k FROM {event
 # --- quota, dispatches and runs (events as dispatches) ----------------------------------------------------------------------
 
 _WEEK = "date_trunc('week', ts)"
-both("quota_used_remaining", f"SELECT CAST({_WEEK} AS DATE) AS week, event_type, round(sum(least(value, 50)), 4) AS used, round(greatest(30000 * 0.9 - sum(least(value, 50)), 0), 4) AS remaining FROM {{events}} GROUP BY CAST({_WEEK} AS DATE), event_type")
 both(
     "quota_since_reading",
     """
@@ -247,12 +219,14 @@ both("session_efficiency", "SELECT user_id, round(avg(CASE WHEN value > 0 THEN l
 both(
     "loss_divergence_windows",
     """
-    SELECT event_type, CAST(sum(CASE WHEN n = 50 AND newer > 1.5 * older THEN 1 ELSE 0 END) AS BIGINT) AS diverged, round(max(newer), 6) AS worst FROM (
-        SELECT event_type, avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS newer,
-               avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND 25 PRECEDING) AS older,
-               count(*) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS n
+    SELECT event_type, CAST(sum(CASE WHEN n = 100 AND newer > 1.5 * older THEN 1 ELSE 0 END) AS BIGINT) AS diverged, round(max(CASE WHEN n = 100 THEN newer END), 6) AS worst FROM (
+        SELECT event_type, $med(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)), $at) AS newer,
+               $med(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND 50 PRECEDING)), $at) AS older,
+               count(*) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS n
         FROM {events}) GROUP BY event_type
     """,
+    med=("get(sort_array(collect_list", "list_extract(list_sort(list"),
+    at=("25", "26"),
 )
 both("progress_eta", "SELECT round(sum(value), 4) AS tokens, round(1e2 * sum(value) / 1000000, 6) AS pct, round((1000000 - sum(value)) / (sum(value) / 30), 6) AS days_left, CASE WHEN sum(value) / 1000 < 10 THEN 'starved' WHEN sum(value) / 1000 < 20 THEN 'low' ELSE 'fine' END AS verdict FROM {events}")
 both("perplexity", "SELECT event_type, round(exp(least(avg(value) / 10, 20)), 6) AS ppl FROM {events} GROUP BY event_type")
@@ -262,35 +236,12 @@ both("redact_secret_tail", "SELECT event_id, concat(left(md5(props), 6), '…',
 
 @query()
 def grad_spike_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spikes against the median of the last 100 accepted values; a spike isn't accepted, so the state is sequential in each key."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        kept: list[float] = []
-        spikes = 0
-        for v in g.sort_values("event_id")["value"]:
-            recent = sorted(kept[-100:])
-            if len(recent) >= 20 and v > 10 * recent[len(recent) // 2]:
-                spikes += 1
-            else:
-                kept.append(v)
-        return pd.DataFrame({"user_id": [g["user_id"].iloc[0]], "spikes": [spikes]})
-
-    return table(spark, sf_dir, "events").select("user_id", "event_id", "value").groupBy("user_id").applyInPandas(run, "user_id bigint, spikes bigint")
+    """Spikes of each user's values: above 10 times the (upper) median of the last 100 accepted ones, of which there are 20 at least, and
+    above 10 times the clip. A spike isn't accepted, so the state is sequential in each key."""
+    return E.spikes(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value", clip=1.0)
 
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """95% interval of a mean by Poisson bootstrap: each task sends sums a resample, never rows."""
-    resamples = 400
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, weight = np.zeros(resamples), np.zeros(resamples)
-        for b in batches:
-            for i, x in zip(b["doc_id"], b["n_chars"], strict=True):
-                w = np.random.default_rng([5, int(i)]).poisson(1.0, resamples)
-                total += w * float(x)
-                weight += w
-        yield pd.DataFrame({"r": np.arange(resamples), "s": total, "w": weight})
-
-    sums = table(spark, sf_dir, "documents").select("doc_id", "n_chars").mapInPandas(run, "r int, s double, w double").groupBy("r").agg((F.sum("s") / F.sum("w")).alias("m"))
-    return sums.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("id"), F.col("n_chars").cast("double").alias("x"))
+    return E.bootstrap_mean(d).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))

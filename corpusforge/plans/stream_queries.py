@@ -50,4 +50,4 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, event_type, CAST(count(*) > 0 AS BOOLEAN) AS seen FROM events GROUP BY user_id, event_type")
 def stream_dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = run_stream(spark, sf_dir, lambda e: E.deduplicated(e, ["user_id", "event_type"]), "append")
-    return out.select("user_id", "event_type", F.lit(True).alias("seen")).distinct()
+    return out.select("user_id", "event_type", F.lit(True).alias("seen"))

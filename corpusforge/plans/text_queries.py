@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpusforge.functions import resources as R
 from corpusforge.functions import text as T
 from corpusforge.operators import clean as C
+from corpusforge.operators import corpus as K
+from corpusforge.operators import lexicon as L
 from corpusforge.operators import register as G
 from corpusforge.plans.registry import query, table
 
@@ -180,8 +182,7 @@ D_KEY = r"regexp_replace(trim(lower(text), chr(32) || chr(9) || chr(10) || chr(1
 @query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5({D_KEY}) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First of each normalised text. The hash, not the text, is shuffled, and the minimum is partial: a hot text costs a row a task."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normal_key(F.col("text"))).alias("k"))
-    return d.groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return K.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id")
 
 
 @query(f"SELECT CAST(n AS BIGINT) AS group_size, CAST(count(*) AS BIGINT) AS groups FROM (SELECT count(*) AS n FROM documents GROUP BY md5({D_KEY})) GROUP BY n")
@@ -193,14 +194,13 @@ def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"SELECT conv_id, turn FROM (SELECT conv_id, turn, len({D_WORDS.format(c='text')}) AS n, row_number() OVER (PARTITION BY {d_strip('lower(text)')} ORDER BY conv_id, turn) AS r FROM conversations) WHERE n > 10 OR r <= 2")
 def short_message_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(T.words(F.col("text"))).alias("n"), T.strip(F.lower("text")).alias("k"))
-    short = c.where("n <= 10").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("conv_id", "turn"))).where("r <= 2")
+    short = K.cap_frequency(c.where("n <= 10"), F.col("k"), ("conv_id", "turn"), 2)
     return c.where("n > 10").select("conv_id", "turn").unionByName(short.select("conv_id", "turn"))
 
 
 @query("SELECT doc_id, CASE WHEN CAST('0x' || left(md5(text), 8) AS BIGINT) % 100000 < 5000 THEN 'val' ELSE 'train' END AS split FROM documents")
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.conv(F.left(F.md5("text"), F.lit(8)), 16, 10).cast("bigint") % 100000
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(u < 5000, "val").otherwise("train").alias("split"))
+    return table(spark, sf_dir, "documents").select("doc_id", K.split_by_hash(F.col("text"), 0.05).alias("split"))
 
 
 _D_KEYSMASH = r"(length(x) >= 6 AND regexp_full_match(x, '\p{L}+') AND ((length(x) - length(regexp_replace(lower(x), '[aeiou]', '', 'g'))) / length(x) < 0.2 OR (length(x) - length(regexp_replace(lower(x), '[asdfghjkl]', '', 'g'))) / length(x) > 0.8))"
@@ -292,9 +292,9 @@ def contamination_13gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only grams of the (small) benchmark are kept of the corpus: its hashes reach the join after a semi-join, never all grams distinct."""
     ws = lambda: T.words(F.lower("text"), "[a-z0-9']+")
     b = table(spark, sf_dir, "benchmark").select("item_id", ws().alias("w"))
-    bg = b.select("item_id", F.explode(F.array_distinct(T.ngrams(F.col("w"), 13))).alias("g"))
+    bg = b.select("item_id", F.explode(F.array_distinct(T.ngram_hashes(F.col("w"), 13))).alias("g"))
     wanted = bg.select("g").distinct()
-    seen = table(spark, sf_dir, "documents").select(F.explode(T.ngrams(ws(), 13)).alias("g")).join(wanted, "g", "left_semi").distinct().withColumn("hit", F.lit(1))
+    seen = K.spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(T.ngram_hashes(ws(), 13)).alias("g")).join(wanted, "g", "left_semi").distinct().withColumn("hit", F.lit(1))
     h = bg.join(seen, "g", "left").groupBy("item_id").agg(F.count("*").alias("grams"), F.count("hit").alias("hit"))
     z = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     return b.select("item_id").join(h, "item_id", "left").select("item_id", z("grams").alias("grams"), z("hit").alias("hit"), (z("grams") > 0).alias("checkable"), F.round(F.coalesce(F.col("hit") / F.col("grams"), F.lit(0.0)), 6).alias("overlap"))
@@ -307,28 +307,44 @@ def contamination_13gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(sum(n) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS distinct_grams, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 6) AS repeated, round(count(*) / sum(n), 6) AS diversity FROM n
     """)
 def ngram_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "conversations").select(F.explode(T.ngrams(T.words(F.col("text"), r"\S+"), 4)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    g = table(spark, sf_dir, "conversations").select(F.explode(T.ngram_hashes(T.words(F.col("text"), r"\S+"), 4)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
     return g.agg(F.sum("n").alias("total"), F.count("*").alias("distinct_grams"), F.round(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("repeated"), F.round(F.count("*") / F.sum("n"), 6).alias("diversity"))
 
 
 @query(rf"""
     WITH w AS (SELECT unnest({_D_CONTENT}) AS word, 'recent' AS side FROM conversations UNION ALL SELECT unnest({_D_CONTENT}), 'old' FROM documents),
     c AS (SELECT word, count(*) FILTER (side = 'recent') AS recent, count(*) FILTER (side = 'old') AS old FROM w GROUP BY word),
+    known AS (SELECT DISTINCT unnest({_D_CONTENT}) AS word FROM documents WHERE lang = 'en'),
+    english AS (SELECT DISTINCT unnest({_D_CONTENT}) AS word FROM benchmark),
+    de AS (SELECT unnest({_D_CONTENT}) AS word FROM documents WHERE lang = 'de'),
+    foreign_words AS (SELECT word FROM de GROUP BY word HAVING count(*) >= 3 AND word NOT IN (SELECT word FROM known)),
     r AS (SELECT word, recent * 1e6 / sum(recent) OVER () AS rate, old * 1e6 / sum(old) OVER () AS old_rate, old FROM c)
-    SELECT word, round(rate, 3) AS rate, round(old_rate, 3) AS old_rate FROM r WHERE length(word) BETWEEN 3 AND 20 AND rate >= 20 AND (old = 0 OR rate / old_rate >= 3)
+    SELECT word AS term, round(rate, 3) AS rate, round(old_rate, 3) AS old_rate FROM r
+    WHERE length(word) BETWEEN 3 AND 20 AND regexp_full_match(word, '\p{{L}}+') AND rate >= 5 AND word NOT IN (SELECT word FROM foreign_words)
+      AND CASE WHEN word IN (SELECT word FROM english) THEN word IN (SELECT word FROM known) AND (old = 0 OR rate / old_rate >= 3) ELSE word NOT IN (SELECT word FROM known) END
     """)
 def emerging_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = lambda name, c: table(spark, sf_dir, name).select(F.explode(T.content_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias(c))
-    recent, old = count("conversations", "recent"), count("documents", "old")
-    total = recent.agg(F.sum("recent").alias("tr")).join(old.agg(F.sum("old").alias("to")))
-    r = recent.where(F.length("word").between(3, 20)).join(old, "word", "left").join(F.broadcast(total))
-    r = r.select("word", (F.col("recent") * 1e6 / F.col("tr")).alias("rate"), (F.coalesce("old", F.lit(0)) * 1e6 / F.col("to")).alias("old_rate"))
-    return r.where((F.col("rate") >= 20) & ((F.col("old_rate") == 0) | (F.col("rate") / F.col("old_rate") >= 3))).select("word", F.round("rate", 3).alias("rate"), F.round("old_rate", 3).alias("old_rate"))
+    """Conversations as the recent corpus, documents as the baseline; English documents stand for the lexicon, the benchmark for a list of
+    English words, German documents for another language's frequencies."""
+    each = lambda df: df.select(F.explode(T.content_words(F.col("text"))).alias("term"))
+    docs, chats = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
+    n = lambda df: each(df).groupBy("term").agg(F.count("*").alias("n"))
+    known = each(docs.where("lang = 'en'")).distinct()
+    other = n(docs.where("lang = 'de'")).select(F.col("term").alias("word"), F.lit("de").alias("lang"), F.col("n").cast("double").alias("zipf"))
+    zipf = other.unionByName(known.select(F.col("term").alias("word"), F.lit("en").alias("lang"), F.lit(9.0).alias("zipf")))
+    got = L.emerging(n(chats), n(docs), known, each(table(spark, sf_dir, "benchmark")).distinct(), L.foreign(zipf), 5.0)
+    return got.select("term", F.round("rate", 3).alias("rate"), F.round("old_rate", 3).alias("old_rate"))
 
 
-@query(rf"SELECT status, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN n * 1e6 / total >= 1000 THEN 'current' WHEN n * 1e6 / total >= 50 THEN 'aging' ELSE 'dead' END AS status FROM (SELECT word, count(*) AS n, sum(count(*)) OVER () AS total FROM (SELECT unnest({_D_CONTENT}) AS word FROM documents) GROUP BY word)) GROUP BY status")
+@query(rf"""
+    WITH w AS (SELECT unnest({_D_CONTENT}) AS word FROM conversations), n AS (SELECT word, count(*) AS n FROM w GROUP BY word),
+    l AS (SELECT DISTINCT lower(unnest({_D_CONTENT})) AS word FROM documents)
+    SELECT l.word AS term, CASE WHEN round(coalesce(n, 0) * 1e6 / t, 3) >= 1 THEN 'current' WHEN round(coalesce(n, 0) * 1e6 / t, 3) >= 0.05 THEN 'aging' ELSE 'dead' END AS status, round(coalesce(n, 0) * 1e6 / t, 3) AS corpus_rate
+    FROM l LEFT JOIN n ON l.word = n.word CROSS JOIN (SELECT count(*) AS t FROM w)
+    """)
 def status_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "documents").select(F.explode(T.content_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    rate = F.col("n") * 1e6 / F.col("total")
-    c = c.join(F.broadcast(c.agg(F.sum("n").alias("total"))))
-    return c.groupBy(F.when(rate >= 1000, "current").when(rate >= 50, "aging").otherwise("dead").alias("status")).agg(F.count("*").alias("n"))
+    """Every word of the documents as a lexicon, refined against the conversations."""
+    each = lambda name: table(spark, sf_dir, name).select(F.explode(T.content_words(F.col("text"))).alias("term"))
+    counts = each("conversations").groupBy("term").agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return L.refine_status(each("documents").distinct().withColumn("status", F.lit("aging")), counts, total).select("term", "status", "corpus_rate")

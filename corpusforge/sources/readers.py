@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 # fixed values: top-level columns that may hold the text, in their order of preference
-TEXT_COLUMNS = ("text", "body", "content", "message", "comment", "CommentText", "Message")
+TEXT_COLUMNS = ("text", "body", "content", "Message", "message", "comment", "Comment", "CommentText", "comment_text", "definition", "hi_ng", "output", "tweet", "post", "selftext", "review")
 
 
 def read(spark: SparkSession, path: str, kind: str | None = None, schema: StructType | str | None = None) -> DataFrame:
@@ -44,10 +44,27 @@ def fan_out(df: DataFrame, shards: int, index: int, id_col: str = "doc_id") -> D
 
 
 def text_column(df: DataFrame, explicit: str | None = None) -> DataFrame:
-    """Append ``text_found``: the explicit (dotted) column, else the first non-blank of the known ones that exist, else empty."""
-    names = [explicit] if explicit else []
-    names += [c for c in TEXT_COLUMNS if c in df.columns and isinstance(df.schema[c].dataType, StringType)]
-    return df.withColumn("text_found", F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in names], F.lit("")))
+    """Append ``text_found``: the first that isn't blank of the explicit (dotted) column, the known columns, the known fields of struct
+    columns, other string fields of those with over 20 characters, and other string columns with over 20 characters, a space inside and
+    no likeness to an identifier; else empty. Names are told apart by case, as columns may differ in nothing else."""
+    # by position: Spark's names ignore case
+    place = lambda i: F.col(f"_c{i}")
+    named = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    own = {f.name: place(i) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, StringType)}
+    known = lambda c: F.when(F.trim(c) != "", c)
+    choices = []
+    if explicit:
+        top, _, below = explicit.partition(".")
+        at = next((place(i) for i, c in enumerate(df.columns) if c == top), None)
+        choices += [] if at is None else [known(at[below] if below else at)]
+    choices += [known(own[c]) for c in TEXT_COLUMNS if c in own]
+    for i, f in enumerate(df.schema.fields):
+        if isinstance(f.dataType, StructType):
+            inner = [g.name for g in f.dataType.fields if isinstance(g.dataType, StringType)]
+            choices += [known(place(i)[c]) for c in TEXT_COLUMNS if c in inner]
+            choices += [F.when(F.length(place(i)[c]) > 20, place(i)[c]) for c in inner]
+    choices += [F.when((F.length(c) > 20) & F.trim(c).contains(" ") & ~id_like(c), c) for c in own.values()]
+    return named.withColumn("text_found", F.coalesce(*choices, F.lit(""))).toDF(*df.columns, "text_found")
 
 
 def id_like(c: Column) -> Column:

@@ -55,7 +55,7 @@ def test_dedup_budget_and_windows(spark):
     df = spark.createDataFrame([(1, "A  b"), (2, "a b"), (3, "c")], "doc_id int, text string")
     assert sorted(r.doc_id for r in corpus.exact_dedup(df).collect()) == [1, 3]
     b = spark.createDataFrame([("x", i, 4) for i in range(5)], "p string, i int, c int")
-    assert corpus.budget(b, "p", F.col("c"), ["i"], F.lit(9)).count() == 3
+    assert corpus.budget(b, "p", F.col("c"), "i", F.lit(9)).count() == 3
     t = spark.createDataFrame([("x", 0, list(range(5))), ("x", 1, list(range(5, 10)))], "p string, d int, ids array<int>")
     w = sorted(corpus.windows(t, "d", "ids", 4, ["p"]).collect(), key=lambda r: r.win)
     assert [(list(r.input_ids), list(r.labels)) for r in w] == [([0, 1, 2, 3], [1, 2, 3, 4]), ([4, 5, 6, 7], [5, 6, 7, 8])]
