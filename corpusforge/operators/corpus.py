@@ -22,9 +22,10 @@ def cap_frequency(df: DataFrame, key: Column, order: Sequence[str], cap: int) ->
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows to all cores where the input has fewer splits than there are (one row group, say), for chains that are all computing."""
+    """Deal the rows of a small input to all cores, for chains that are all computing: its splits may be fewer than the cores, or, as row
+    groups don't divide, empty but for one. An input of four splits a core or more stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(2 * cores)
 
 
 def bucketed(df: DataFrame, by: Sequence[str], order: str, buckets: int = 64) -> DataFrame:

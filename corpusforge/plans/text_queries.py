@@ -92,17 +92,17 @@ def d_clean(strict: bool) -> str:
 
 @query(d_clean(False) + "SELECT reason, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY reason")
 def clean_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.reason_histogram(C.clean(table(spark, sf_dir, "documents")))
+    return C.reason_histogram(C.clean(K.spread(table(spark, sf_dir, "documents"))))
 
 
 @query(d_clean(True) + "SELECT reason, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY reason")
 def clean_reasons_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.reason_histogram(C.clean(table(spark, sf_dir, "documents"), C.CleanConfig.strictly()))
+    return C.reason_histogram(C.clean(K.spread(table(spark, sf_dir, "documents")), C.CleanConfig.strictly()))
 
 
 @query(d_clean(False) + "SELECT lang AS lang_route, count(*) AS n, sum(n_words) AS words, CAST(sum(CASE WHEN reason = 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM r GROUP BY lang".replace("count(*)", "CAST(count(*) AS BIGINT)").replace("sum(n_words)", "CAST(sum(n_words) AS BIGINT)"))
 def clean_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = C.clean(table(spark, sf_dir, "documents"))
+    c = C.clean(K.spread(table(spark, sf_dir, "documents")))
     return c.groupBy(F.coalesce("lang_route", F.lit("en")).alias("lang_route")).agg(F.count("*").alias("n"), F.sum("n_words").cast("bigint").alias("words"), F.sum(F.col("ok").cast("int")).cast("bigint").alias("kept"))
 
 
@@ -225,13 +225,13 @@ D_FEATURES = rf"""
 
 @query(D_FEATURES + "SELECT doc_id, n_tokens, round(emoji_rate, 6) AS emoji_rate, round(abbrev_rate, 6) AS abbrev_rate, round(formality, 6) AS formality FROM f")
 def register_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = G.features(table(spark, sf_dir, "documents"))
+    f = G.features(K.spread(table(spark, sf_dir, "documents")))
     return f.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("emoji_rate", "abbrev_rate", "formality")])
 
 
 @query()
 def register_elongation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.features(table(spark, sf_dir, "documents")).select("doc_id", F.round("elong_rate", 6).alias("elong_rate"))
+    return G.features(K.spread(table(spark, sf_dir, "documents"))).select("doc_id", F.round("elong_rate", 6).alias("elong_rate"))
 
 
 def _d_bucket(c: str, edges: object) -> str:
@@ -240,13 +240,13 @@ def _d_bucket(c: str, edges: object) -> str:
 
 @query(D_FEATURES + f"SELECT {_d_bucket('emoji_rate', R.REGISTER_EDGES['emoji'])} AS emoji, {_d_bucket('abbrev_rate', R.REGISTER_EDGES['abbrev'])} AS abbrev, {_d_bucket('round(formality, 9)', R.REGISTER_EDGES['formal'])} AS formal, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY ALL")
 def register_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = G.buckets(G.features(table(spark, sf_dir, "documents")).withColumn("formality", F.round("formality", 9)))
+    f = G.buckets(G.features(K.spread(table(spark, sf_dir, "documents"))).withColumn("formality", F.round("formality", 9)))
     return f.groupBy("emoji", "abbrev", "formal").agg(F.count("*").alias("n"))
 
 
 @query(D_FEATURES + f"SELECT doc_id, '<|reg|><|slang_0|><|emoji_' || {_d_bucket('emoji_rate', R.REGISTER_EDGES['emoji'])} || '|><|abbrev_' || {_d_bucket('abbrev_rate', R.REGISTER_EDGES['abbrev'])} || '|><|formal_' || {_d_bucket('round(formality, 9)', R.REGISTER_EDGES['formal'])} || '|><|/reg|>' AS prefix, {_d_bucket('round(formality, 9)', R.REGISTER_EDGES['formal'])} AS formal_back FROM f")
 def register_prefix_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = G.buckets(G.features(table(spark, sf_dir, "documents")).withColumn("formality", F.round("formality", 9)))
+    f = G.buckets(G.features(K.spread(table(spark, sf_dir, "documents"))).withColumn("formality", F.round("formality", 9)))
     p = f.select("doc_id", T.register_string({d: F.col(d) for d in ("slang", "emoji", "abbrev", "formal")}).alias("prefix"))
     return p.withColumn("formal_back", T.parse_register(F.col("prefix"), "formal"))
 
@@ -267,12 +267,12 @@ LEXICON = (("the", 1.0, True), ("ez", 0.9, False), ("ing", 0.5, False), ("of the
 )
 def slang_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = spark.createDataFrame(LEXICON, "term string, weight double, ambiguous boolean")
-    return G.slang_density(table(spark, sf_dir, "documents"), lex).withColumn("slang_density", F.round("slang_density", 6))
+    return G.slang_density(K.spread(table(spark, sf_dir, "documents")), lex).withColumn("slang_density", F.round("slang_density", 6))
 
 
 @query(D_FEATURES + ", s AS (SELECT source, count(*) AS n, avg(2.0 * 0 + f.abbrev_rate + f.emoji_rate + (3 - formality)) AS score FROM f JOIN documents USING (doc_id) WHERE n_tokens >= 5 GROUP BY source HAVING count(*) >= 40) SELECT source, CAST(n AS BIGINT) AS n, round(score, 6) AS score FROM s ORDER BY score DESC, source LIMIT 10")
 def community_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = G.features(table(spark, sf_dir, "documents")).where("n_tokens >= 5")
+    f = G.features(K.spread(table(spark, sf_dir, "documents"))).where("n_tokens >= 5")
     s = f.groupBy("source").agg(F.count("*").alias("n"), F.avg(F.col("abbrev_rate") + F.col("emoji_rate") + (3 - F.col("formality"))).alias("score")).where("n >= 40")
     return s.select("source", "n", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "source").limit(10)
 
