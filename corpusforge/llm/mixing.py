@@ -19,7 +19,8 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     """How many documents of each distinct size to take so that their sizes sum to ``budget`` or, failing that, come closest below.
 
     Every size first gives its proportional share (floor), then the largest sizes fill up to about EXACT words, and a bounded-knapsack
-    dynamic programme (binary splitting, reachable sums as bits) over what is left fits the rest.
+    dynamic programme (binary splitting, reachable sums as bits) over what is left fits the rest. Where it can't, shares of the least
+    sizes are given back, a little at first and EXACT words at most, and it fits again: up to EXACT words the result is the best there is.
     """
     sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
     total = int((sizes * counts).sum())
@@ -37,8 +38,26 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         n = min(int(counts[i] - take[i]), (rest - EXACT) // int(sizes[i]) + 1, rest // int(sizes[i])) if sizes[i] else 0
         take[i] += n
         rest -= n * int(sizes[i])
+    first, left, best = take, rest, take
+    short = rest
+    for room in (0, *(1 << k for k in range(8, EXACT.bit_length(), 2))):
+        take, rest = first.copy(), left
+        for i in np.argsort(sizes, kind="stable").tolist():
+            n = min(int(take[i]), max(0, min(room, EXACT) - rest) // int(sizes[i])) if sizes[i] else 0
+            take[i] -= n
+            rest += n * int(sizes[i])
+        take, missed = _fill(sizes, counts, take, rest)
+        if missed < short or room == 0:
+            best, short = take, missed
+        if not short:
+            break
+    return best
+
+
+def _fill(sizes: np.ndarray, counts: np.ndarray, take: np.ndarray, rest: int) -> tuple[np.ndarray, int]:
+    """``take`` with more documents, as near to ``rest`` words more as there are, and what is missing."""
     if rest <= 0:
-        return take
+        return take, 0
     reach, full, steps = 1, (1 << (rest + 1)) - 1, []
     for i in np.argsort(sizes, kind="stable").tolist():
         size, left, part = int(sizes[i]), int(min(counts[i] - take[i], rest // sizes[i])) if sizes[i] else 0, 1
@@ -50,11 +69,12 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         if reach >> rest & 1:
             break
     at = reach.bit_length() - 1
+    missed = rest - at
     for i, n, before in reversed(steps):
         if not before >> at & 1:
             take[i] += n
             at -= n * int(sizes[i])
-    return take
+    return take, missed
 
 
 def targets(sized: DataFrame, weights: Sequence[float], most: int = MOST) -> DataFrame:

@@ -199,7 +199,11 @@ def test_fit_budget_is_the_best_subset_sum():
         counts = rng.integers(1, 4, len(sizes))
         budget = int(rng.integers(0, int((sizes * counts).sum()) + 1))
         take = mixing.fit_budget(sizes, counts, budget)
-        assert (take >= 0).all() and (take <= counts).all() and (sizes * take).sum() <= budget
+        sums = {0}
+        for x, n in zip(sizes.tolist(), counts.tolist(), strict=True):
+            sums = {a + x * i for a in sums for i in range(n + 1)}
+        assert (take >= 0).all() and (take <= counts).all() and (sizes * take).sum() == max(a for a in sums if a <= budget)
+    assert mixing.fit_budget(np.array([2, 7]), np.array([3, 3]), 14).tolist() == [0, 2]
 
 
 def test_nn_descent(spark):
