@@ -214,3 +214,27 @@ def ngram_hashes(ws: Column, n: int) -> Column:
     """As :func:`ngrams`, each n-gram as a pair of independent 64-bit hashes: 16 bytes to shuffle, whatever the words' lengths."""
     pair = lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(F.lit(n), g).alias("b"))
     return F.transform(ngrams(ws, n), pair)
+
+
+# fixed values: alternatives of the split before tokenization, in their order
+PRETOKEN = "(?U)" + "|".join(
+    [
+        r"<\|[a-z_0-9/]+\|>",  # special tokens
+        r" ?[#@][\w_]+",  # hashtags and mentions
+        r" ?r/[A-Za-z0-9_]+",  # communities
+        r" ?:[a-z_]+:",  # emotes
+        R.EMOJI + r"(\x{200D}" + R.EMOJI + r")*[\x{FE0F}\x{20E3}]*",
+        r"'(?:[sdmt]|ll|ve|re)",
+        r"[^\r\n\p{L}\p{N}]?\p{L}+",
+        r"\p{N}{1,3}",
+        r" ?[^\s\p{L}\p{N}]+[\r\n]*",
+        r"\s*[\r\n]+",
+        r"\s+(?!\S)",
+        r"\s+",
+    ]
+)
+
+
+def pretokens(c: Column) -> Column:
+    """Pieces that a tokenizer encodes apart; together they are the text."""
+    return words(c, PRETOKEN)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -109,3 +109,57 @@ def bootstrap_mean(rows: DataFrame, resamples: int = 4000, level: float = 0.95,
 
     means = rows.mapInPandas(run, "r int, s double, w double").groupBy("r").agg((F.sum("s") / F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", F.lit((1 - level) / 2)).alias("low"), F.percentile("m", F.lit((1 + level) / 2)).alias("high"))
+
+
+DIMENSIONS = ("slang", "emoji", "abbrev", "elong", "formal")
+
+
+def calibration_error(pairs: DataFrame, dims: Sequence[str] = DIMENSIONS) -> DataFrame:
+    """One row: the mean distance of requested (want_x) and produced (got_x) buckets, a column rce_x a dimension, and their sum rce; 0
+    without pairs."""
+    gaps = [F.coalesce(F.avg(F.abs(F.col(f"want_{d}") - F.col(f"got_{d}"))), F.lit(0.0)).alias(f"rce_{d}") for d in dims]
+    got = pairs.agg(*gaps)
+    return got.withColumn("rce", sum((F.col(f"rce_{d}") for d in dims), F.lit(0.0)))
+
+
+def confusion(pairs: DataFrame, given: str, rated: str, classes: int = 5) -> DataFrame:
+    """(given, rated, n): every cell of the grid, empty ones too."""
+    types = dict(pairs.dtypes)
+    n = pairs.groupBy(given, rated).agg(F.count("*").alias("n"))
+    cells = F.sequence(F.lit(0), F.lit(classes - 1))
+    grid = pairs.sparkSession.range(classes).select(F.col("id").cast(types[given]).alias(given), F.explode(cells.cast(f"array<{types[rated]}>")).alias(rated))
+    return grid.join(F.broadcast(n), [given, rated], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def agreement(pairs: DataFrame, given: str, rated: str) -> DataFrame:
+    """One row: exact, within_one and bias (given less rated)."""
+    gap = F.col(given) - F.col(rated)
+    share = lambda c: F.avg(c.cast("double"))
+    return pairs.agg(share(gap == 0).alias("exact"), share(F.abs(gap) <= 1).alias("within_one"), F.avg(gap.cast("double")).alias("bias"))
+
+
+def disagreements(pairs: DataFrame, key: str, given: str, rated: str, k: int = 8) -> DataFrame:
+    """The k rows with the widest gap (a report), least key first; rows that agree aren't among them."""
+    return pairs.withColumn("gap", F.abs(F.col(given) - F.col(rated))).where("gap > 0").orderBy(F.desc("gap"), key).limit(k)
+
+
+def freshness(hits: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """One row: median_year of the first use of the hits' terms (term), n of hits in the lexicon (term, status, first_seen as text), and
+    their share of each status. A first use without a year counts for the shares alone. Hits are counted by term before the join, and
+    the median is one of years, of which there are few."""
+    own = hits.groupBy("term").agg(F.count("*").alias("_n")).join(lexicon.select("term", "status", "first_seen"), "term")
+    year = F.expr("try_cast(left(first_seen, 4) AS int)")
+    share = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("_n"))) / F.sum("_n"), F.lit(0.0)).alias(f"frac_{s}")
+    return own.withColumn("_y", year).agg(
+        F.percentile("_y", F.lit(0.5), F.when(F.col("_y").isNotNull(), F.col("_n")).otherwise(0)).alias("median_year"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n"),
+        *[share(s) for s in ("current", "aging", "dead")],
+    )
+
+
+def forced_tokens(tokens: DataFrame) -> DataFrame:
+    """(token, place) of tokens (token, place): each once, at its least place; then each with a space before it that has none, after all."""
+    plain = tokens.where(F.coalesce("token", F.lit("")) != "").select("token", F.col("place").cast("bigint").alias("place"))
+    last = plain.agg(F.coalesce(F.max("place"), F.lit(0)).alias("_last"))
+    spaced = plain.where(~F.col("token").startswith(" ")).join(F.broadcast(last)).select(F.concat(F.lit(" "), "token").alias("token"), (F.col("place") + F.col("_last") + 1).alias("place"))
+    return plain.unionByName(spaced).groupBy("token").agg(F.min("place").alias("place"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,31 @@ def verdict(tokens_per_parameter: Column) -> Column:
     # fixed values: edges of the classes
     t = tokens_per_parameter
     return F.when(t <= 0, "idle").when(t < 10, "bad").when(t < 20, "warn").when(t < 70, "ok").otherwise("good")
+
+
+def stalled(sessions: DataFrame, key: str, order: str, least: int = 3) -> DataFrame:
+    """(key, step, sessions, wasted_hours) of runs whose last ``least`` finished sessions (end_step is not null) all ended at the run's
+    present step. ``sessions`` has end_step, wall seconds and the run's step; a session without wall seconds wasted none."""
+    done = sessions.where(F.col("end_step").isNotNull())
+    last = done.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_r") <= least)
+    got = last.groupBy(key).agg(F.min("end_step").alias("_low"), F.max("end_step").alias("step"), F.max_by("step", order).alias("_now"), F.count("*").alias("sessions"), F.round(F.sum(F.coalesce("wall", F.lit(0.0))) / 3600, 2).alias("wasted_hours"))
+    return got.where((F.col("_low") == F.col("step")) & (F.col("step") == F.col("_now")) & (F.col("sessions") == least)).drop("_low", "_now")
+
+
+def close(dispatches: DataFrame, budgets: DataFrame, now: Column, held: bool) -> DataFrame:
+    """Dispatches (platform, at, status, hours) with those closed that can't be running. While no lease is held, every running one has
+    crashed; while one is, those beyond their platform's session_hours are unknown. They are billed the hours since, at most a session's."""
+    b = F.broadcast(budgets.select(F.col("platform").alias("_p"), F.col("session_hours").alias("_most")))
+    met = dispatches.join(b, F.col("platform") == F.col("_p"), "left")
+    since = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))) / 3.6e9
+    running = F.col("status").eqNullSafe("running") & F.col("at").isNotNull()
+    gone = F.coalesce(running & (since > F.col("_most")), F.lit(False)) if held else running
+    bill = F.round(F.greatest(F.least(since, F.coalesce("_most", since)), F.lit(0.0)), 4)
+    closed = met.withColumn("_gone", gone).withColumn("hours", F.when(F.col("_gone"), bill).otherwise(F.col("hours")))
+    return closed.withColumn("status", F.when(F.col("_gone"), "unknown" if held else "crashed").otherwise(F.col("status"))).select(*dispatches.columns)
+
+
+def soonest_reset(budgets: DataFrame, now: Column) -> DataFrame:
+    """One row (platform, reset): the platform whose quota is next to be reset, the first by name of equal ones."""
+    each = budgets.select("platform", next_reset(F.col("period"), now).alias("reset"))
+    return each.agg(F.min(F.struct("reset", "platform")).alias("b")).select("b.platform", "b.reset")

@@ -142,3 +142,56 @@ def emerging(recent: DataFrame, baseline: DataFrame, known: DataFrame, english:
     grown = old.isNotNull() & F.col("_k").isNotNull() & ((old == 0) | (F.col("rate") / old >= min_growth))
     r = r.where(F.when(F.col("_e").isNotNull(), F.coalesce(grown, F.lit(False))).otherwise(F.col("_k").isNull()))
     return r.select("term", "rate", F.coalesce(old, F.lit(0.0)).alias("old_rate"))
+
+
+def well_formed(term: Column) -> Column:
+    """Whether every word of a term is one: a letter, then letters, digits, apostrophes and hyphens. False for empty terms."""
+    ws = F.filter(F.split(F.coalesce(term, F.lit("")), r"\s+"), lambda w: w != "")
+    return (F.size(ws) > 0) & F.forall(ws, lambda w: w.rlike(WELL_FORMED))
+
+
+def loadable(entries: DataFrame, function_words: DataFrame, jargon: DataFrame, zipf: DataFrame, senses: DataFrame) -> DataFrame:
+    """Entries whose term still is vocabulary by the rules in force: well formed, not trivial, no jargon (word), not all function words
+    (word), and not a common word (word, zipf) unless it has a new sense (term, definition)."""
+    df = entries.where(well_formed(F.col("term")) & ~F.col("term").rlike(TRIVIAL))
+    each = df.select("term", F.explode(F.split("term", r"\s+")).alias("word")).distinct()
+    each = each.join(function_words.select("word", F.lit(True).alias("_f")).distinct(), "word", "left").join(zipf.select("word", "zipf"), "word", "left")
+    met = each.groupBy("term").agg(F.min(F.coalesce("_f", F.lit(False))).alias("_f"), F.coalesce(F.max("zipf"), F.lit(0.0)).alias("_z"))
+    met = met.join(senses.select("term", F.lit(True).alias("_s")).distinct(), "term", "left").where(~F.col("_f") & ((F.col("_z") < COMMON_ZIPF) | F.col("_s").isNotNull()))
+    met = met.join(jargon.select(F.col("word").alias("term")).distinct(), "term", "left_anti")
+    return df.join(met, "term", "left_semi").select(*entries.columns)
+
+
+def first_of_each(entries: DataFrame, position: str) -> DataFrame:
+    """The first entry of each term by position, as a partial aggregate."""
+    got = entries.groupBy("term").agg(F.min_by(F.struct(*entries.columns), position).alias("_e"))
+    return got.select("_e.*")
+
+
+def curated_senses(*lists: DataFrame) -> DataFrame:
+    """(term, definition) of several lists; a later list wins, and so does the greater definition inside one."""
+    all_ = None
+    for i, s in enumerate(lists):
+        own = s.select("term", "definition", F.lit(i).alias("_i"))
+        all_ = own if all_ is None else all_.unionByName(own)
+    return all_.groupBy("term").agg(F.max(F.struct("_i", "definition")).alias("_b")).select("term", "_b.definition")
+
+
+def append_senses(entries: DataFrame, senses: DataFrame) -> DataFrame:
+    """Entries and, for senses (term, definition) that they lack, curated ones; columns that these don't have are null."""
+    fixed = {"first_seen": "", "last_seen": "", "n_defs": 1, "median_score": 60.0, "recency_weight": 0.95, "status": "current", "example": "", "source": "curated"}
+    met = entries.withColumn("_old", F.lit(True)).join(senses.select("term", F.col("definition").alias("_d")), "term", "full_outer")
+    new = F.col("_old").isNull()
+    value = lambda c, t: F.col("term") if c == "term" else F.when(new, F.col("_d") if c == "definition" else F.lit(fixed.get(c)).cast(t)).otherwise(F.col(c)).alias(c)
+    return met.select(*[value(c, t) for c, t in entries.dtypes])
+
+
+def load(entries: DataFrame, position: str, function_words: DataFrame, jargon: DataFrame, zipf: DataFrame, drifted: DataFrame, slang: DataFrame) -> DataFrame:
+    """A lexicon as it is used: the first entry of each term that is loadable, and the curated senses that it lacks."""
+    kept = loadable(first_of_each(entries, position), function_words, jargon, zipf, drifted)
+    return append_senses(kept, curated_senses(drifted, slang))
+
+
+def ranked(lexicon: DataFrame) -> DataFrame:
+    """The most recent first, then the highest median score, then by term."""
+    return lexicon.orderBy(F.desc("recency_weight"), F.desc("median_score"), "term")

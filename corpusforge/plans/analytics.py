@@ -173,7 +173,6 @@ def distractor_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- evaluation ------------------------------------------------------------------------------------------------------------
 
 _PAIRS = "(SELECT u.conv_id, u.turn, length(u.text) AS a, length(v.text) AS b FROM {conversations} u JOIN {conversations} v ON u.conv_id = v.conv_id AND v.turn = u.turn + 1 WHERE u.role = 'user')"
-both("rce_by_dim", f"SELECT round(avg(abs(least(floor(a / 100), 4) - least(floor(b / 100), 4))), 6) AS length_rce, round(avg(abs(a % 3 - b % 3)), 6) AS other_rce FROM {_PAIRS} t")
 both("context_adaptation_pearson", f"SELECT CAST(count(*) AS BIGINT) AS n, round(corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)), 6) AS r FROM {_PAIRS} t")
 both(
     "spearman_quality_length",
@@ -195,9 +194,7 @@ both(
     grid=("(SELECT explode(sequence(0, greatest(na, nb) - 1)) AS i, na, nb FROM k)", "(SELECT unnest(range(greatest(na, nb))) AS i, na, nb FROM k)"),
 )
 both("type_token_ratio", "SELECT lang, round(count(DISTINCT w) / count(*), 6) AS ttr FROM (SELECT lang, $words AS w FROM {documents}) GROUP BY lang", words=("explode(split(text, ' '))", "unnest(string_split(text, ' '))"))
-both("freshness_median", "SELECT round($median, 6) AS median_year, CAST(count(*) AS BIGINT) AS hits, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1e0 ELSE 0e0 END), 6) AS frac_f FROM {orders}", median=("percentile(year(o_orderdate), 0.5)", "quantile_cont(year(o_orderdate), 0.5)"))
 both("formal_leakage", "SELECT round(avg(d), 6) AS mean_density, round(avg(CASE WHEN d = 0 THEN 1e0 ELSE 0e0 END), 6) AS frac_zero FROM (SELECT 1e2 * (length(text) - length(replace(text, '!', ''))) / length(text) AS d FROM {documents})")
-both("mcq_accuracy_rollup", "SELECT coalesce(lang, 'all') AS status, round(avg(CASE WHEN (n_chars > 300) = (quality = 1) THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id GROUP BY ROLLUP (lang)")
 both("content_hash", "SELECT item_id, $h AS h FROM {benchmark}", h=("left(sha2(concat('{{\"id\": ', CAST(item_id AS STRING), ', \"prompt\": ', text, '}}'), 256), 16)", "left(sha256(concat('{{\"id\": ', CAST(item_id AS VARCHAR), ', \"prompt\": ', text, '}}')), 16)"))
 both("props_json_extract", "SELECT event_id, CAST($k AS BIGINT) AS k FROM {events}", k=("get_json_object(props, '$.k')", "json_extract_string(props, '$.k')"))
 
@@ -212,8 +209,6 @@ both(
     """,
 )
 both("latest_open_dispatch", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM {events} WHERE event_type <> 'error') WHERE r = 1")
-both("close_stale", "SELECT CASE WHEN ts < $t THEN 'closed' ELSE 'running' END AS status, CAST(count(*) AS BIGINT) AS n FROM {events} GROUP BY CASE WHEN ts < $t THEN 'closed' ELSE 'running' END", t=("TIMESTAMP_NTZ'2024-01-20 00:00:00'", "TIMESTAMP '2024-01-20 00:00:00'"))
-both("stall_detection", "SELECT user_id, max(event_type) AS last_type, round(sum(value) / 3600, 6) AS wasted FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM {events}) WHERE r <= 3 GROUP BY user_id HAVING count(DISTINCT event_type) = 1 AND count(*) = 3")
 both("metrics_downsample", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM {events}) WHERE r % (CAST(floor(n / 100) AS BIGINT) + 1) = 0")
 both("session_efficiency", "SELECT user_id, round(avg(CASE WHEN value > 0 THEN least(value / 50, 1) END), 6) AS efficiency FROM {events} GROUP BY user_id")
 both(

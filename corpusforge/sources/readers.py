@@ -85,3 +85,44 @@ def write_corpus(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[st
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "gzip").json(path)
+
+
+# fixed values: columns that name people or places of a record, which no corpus keeps
+PERSONAL_COLUMNS = (
+    "author", "author_fullname", "author_flair_text", "permalink", "id",
+    "subreddit_id", "link_id", "parent_id", "name", "CommentID", "VideoID",
+    "VideoTitle", "user", "username", "user_id", "channel_id", "server_id",
+    "AuthorName", "AuthorChannelID", "author_name", "display_name",
+)
+
+
+def without_personal(df: DataFrame) -> DataFrame:
+    """df without columns that name people; column names are told apart by case."""
+    kept = [i for i, c in enumerate(df.columns) if c not in PERSONAL_COLUMNS]  # by position: Spark's names ignore case
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]).select(*[f"_c{i}" for i in kept]).toDF(*[df.columns[i] for i in kept])
+
+
+def human_annotated(df: DataFrame) -> Column:
+    """Whether a row is a person's work: the first struct column with a field source that isn't null says so with 1; a source that is no
+    number, and rows without such a column, count as one."""
+    out = F.lit(True)
+    for f in reversed(df.schema.fields):
+        if isinstance(f.dataType, StructType) and "source" in f.dataType.names:
+            s = F.col(f"`{f.name}`")["source"].cast("string")
+            out = F.when(F.col(f"`{f.name}`").isNull(), out).otherwise(F.coalesce(s.try_cast("int") == 1, F.lit(True)))
+    return out
+
+
+def only_pools(sources: Sequence[tuple[str, str]], pools: str) -> list[tuple[str, str]]:
+    """Those of the (name, pool) sources whose pool is in the comma-separated list; none at all is an error."""
+    wanted = {p.strip() for p in pools.split(",") if p.strip()}
+    got = [s for s in sources if s[1] in wanted]
+    if not got:
+        raise ValueError(f"no source has a pool of {sorted(wanted)}")
+    return got
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    """Append ``position`` to rows read from files: file, place of the split, place in it. Its order is the order of the rows."""
+    meta = F.col("_metadata")
+    return df.select("*", F.struct(meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("row")).alias("position"))
