@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import NumericType, StringType, StructType
 
 # fixed values: top-level columns that may hold the text, in their order of preference
 TEXT_COLUMNS = ("text", "body", "content", "Message", "message", "comment", "Comment", "CommentText", "comment_text", "definition", "hi_ng", "output", "tweet", "post", "selftext", "review")
@@ -108,7 +108,9 @@ def human_annotated(df: DataFrame) -> Column:
     out = F.lit(True)
     for f in reversed(df.schema.fields):
         if isinstance(f.dataType, StructType) and "source" in f.dataType.names:
-            s = F.col(f"`{f.name}`")["source"].cast("string")
+            s = F.col(f"`{f.name}`")["source"]
+            if not isinstance(f.dataType["source"].dataType, NumericType):
+                s = s.cast("string")
             out = F.when(F.col(f"`{f.name}`").isNull(), out).otherwise(F.coalesce(s.try_cast("int") == 1, F.lit(True)))
     return out
 
