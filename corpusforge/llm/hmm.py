@@ -23,8 +23,10 @@ LISTED = 200_000
 CLASSES = 16_384
 HASHED = 512
 STATES = 8
-ROUNDS = 2
-SAMPLE = 400
+ROUNDS = 6
+TOLERANCE = 0.002
+SAMPLE = 2_000
+SEGMENT = 96
 BATCH_TOKENS = 1_500_000
 
 
@@ -129,11 +131,9 @@ class Model:
     emit: np.ndarray  # states x classes
 
 
-def unpack(codes: list[bytes], dtype: np.dtype, segment: int | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Groups of sequences of about BATCH_TOKENS tokens, longest first, as (order, arrays); ``segment`` cuts them to that length."""
+def unpack(codes: list[bytes], dtype: np.dtype) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Groups of sequences of about BATCH_TOKENS tokens, longest first, as (order, arrays)."""
     seqs = [np.frombuffer(c, dtype) for c in codes]
-    if segment:
-        seqs = [s[i : i + segment] for s in seqs for i in range(0, len(s), segment)]
     group, total = [], 0
     for i, s in enumerate(seqs):
         group.append(i)
@@ -204,17 +204,28 @@ def maximise(start: np.ndarray, move: np.ndarray, emit: np.ndarray, shares: np.n
 
 
 def initial(shares: np.ndarray, codes: list[bytes], dtype: np.dtype, states: int, seed: int = 3, rounds: int = 15) -> Model:
-    """Start for the full rounds: Baum-Welch in memory on segments of a bounded sample, from seeded perturbed shares."""
+    """Start for the full rounds: Baum-Welch in memory on a bounded sample of segments, from seeded perturbed shares."""
     rng = np.random.default_rng(seed)
     m = maximise(np.zeros(states), 5 * np.eye(states), len(shares) * rng.gamma(0.5, 2.0, (states, len(shares))) * shares, shares)
     for _ in range(rounds if codes else 0):
-        parts = [expectations(m, s) for _, s in unpack(codes, dtype, 96)]
+        parts = [expectations(m, s) for _, s in unpack(codes, dtype)]
         m = maximise(*(sum(p[i] for p in parts) for i in range(3)), shares)
     return m
 
 
-def train_round(coded: DataFrame, m: Model, shares: np.ndarray, dtype: np.dtype) -> Model:
-    """One Baum-Welch round over all rows of ``coded`` (column codes); each task sends a row a class it saw, summed by class."""
+def segments(coded: DataFrame, dtype: np.dtype, sample: int) -> list[bytes]:
+    """At most ``sample`` segments of SEGMENT tokens (least hash of row and place) of all texts' codes: what the driver gets is bounded in
+    bytes, however long a text is."""
+    step = SEGMENT * dtype.itemsize
+    places = F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("codes") - 1) / step).cast("int"))).alias("place")
+    each = coded.where(F.octet_length("codes") > 0).select("id", "row", "codes", places)
+    part = F.substring(F.col("codes"), F.col("place") * step + 1, F.lit(step)).alias("part")
+    return [bytes(r["part"]) for r in each.orderBy(F.xxhash64(F.lit("hmm"), "id", "place"), "row", "place").limit(sample).select(part).collect()]
+
+
+def train_round(coded: DataFrame, m: Model, shares: np.ndarray, dtype: np.dtype) -> tuple[Model, float]:
+    """One Baum-Welch round over all rows of ``coded`` (column codes), and their log10 likelihood before it; each task sends a row a class
+    it saw, summed by class."""
     states, shared = len(m.start), coded.sparkSession.sparkContext.broadcast(m)
     names = [f"s{i}" for i in range(states)]
 
@@ -222,13 +233,13 @@ def train_round(coded: DataFrame, m: Model, shares: np.ndarray, dtype: np.dtype)
         m, total = shared.value, None
         for b in batches:
             for _, seqs in unpack(b.column(0).to_pylist(), dtype):
-                got = expectations(m, seqs)[:3]
+                got = expectations(m, seqs)
                 total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
         if total is not None:
-            start, move, emit = total
+            start, move, emit, log = total
             seen = np.flatnonzero(emit.any(axis=0))
-            key = np.concatenate([[-1], -2 - np.arange(states), seen])
-            vals = np.vstack([start, move, emit[:, seen].T])
+            key = np.concatenate([[-1], -2 - np.arange(states + 1), seen])
+            vals = np.vstack([start, move, np.full(states, log), emit[:, seen].T])
             yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(vals[:, i]) for i in range(states))], ["key", *names])
 
     got = coded.select("codes").mapInArrow(run, "key bigint, " + ", ".join(f"{n} double" for n in names)).groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toPandas().set_index("key")
@@ -236,7 +247,19 @@ def train_round(coded: DataFrame, m: Model, shares: np.ndarray, dtype: np.dtype)
     seen = got.index[got.index >= 0].to_numpy()
     emit[:, seen] = got.loc[seen, names].to_numpy().T
     row = lambda i: got.loc[i, names].to_numpy() if i in got.index else np.zeros(states)
-    return maximise(row(-1), np.stack([row(-2 - i) for i in range(states)]), emit, shares)
+    return maximise(row(-1), np.stack([row(-2 - i) for i in range(states)]), emit, shares), float(row(-2 - states)[0])
+
+
+def train(coded: DataFrame, shares: np.ndarray, dtype: np.dtype, states: int = STATES, rounds: int = ROUNDS, sample: int = SAMPLE, tolerance: float = TOLERANCE) -> tuple[Model, list[float]]:
+    """The model, and the log10 likelihood of all rows before each full round. Rounds end when one gains no more than ``tolerance`` of the
+    likelihood, and after ``rounds`` at most."""
+    m, logs = initial(shares, segments(coded, dtype, sample), dtype, states), []
+    for _ in range(rounds):
+        m, log = train_round(coded, m, shares, dtype)
+        logs.append(log)
+        if len(logs) > 1 and log - logs[-2] <= tolerance * abs(log):
+            break
+    return m, logs
 
 
 def lexicon(counts: DataFrame, ends: int, listed: int = LISTED, classes: int = CLASSES) -> Lexicon:
@@ -260,8 +283,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     probabilities. Null texts are empty: one end. Repeated rows count and score each; a null ``held_out`` is true; without training rows every word is
     unknown and the model is the perturbed start. Columns other than id and text aren't read.
 
-    Word counts, class totals and Baum-Welch counts cover all training rows; only the start of Baum-Welch comes from ``sample`` rows
-    (least hash of id). Texts are read twice; the class sequences are written once, in two bytes a token, for the later passes.
+    Word counts, class totals and Baum-Welch counts cover all training rows; only the start of Baum-Welch comes from ``sample`` segments
+    of their texts. Full rounds are run until the likelihood settles, ``rounds`` at most. Texts are read twice; the class sequences are written once, in two bytes a token, for the later passes.
     Counts of words beyond the broadcast list are joined, not broadcast.
     """
     spark = docs.sparkSession
@@ -282,12 +305,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
     coded = materialise(numbered.mapInArrow(run, f"row bigint, id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, inside double, codes binary, rare array<string>"))
-    train = coded.where(~F.col("held_out"))
-    shares = lex.shares()
-    first = train.orderBy(F.xxhash64(F.lit("hmm"), "id"), "row").limit(sample).select("codes").collect()
-    m = initial(shares, [bytes(r["codes"]) for r in first], dtype, states)
-    for _ in range(rounds):
-        m = train_round(train, m, shares, dtype)
+    m, _ = train(coded.where(~F.col("held_out")), lex.shares(), dtype, states, rounds, sample)
     final = spark.sparkContext.broadcast(Model(*(x.astype(np.float64) for x in (m.start, m.move, m.emit))))
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

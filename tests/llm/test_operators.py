@@ -62,6 +62,22 @@ def test_bpe(spark):
     assert bpe.encode(frame(spark, []), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_hmm_rounds_raise_the_likelihood(spark):
+    rng, dtype = np.random.default_rng(4), np.dtype(np.uint16)
+    shares = np.full(12, 1 / 12)
+    # one text is longer than many segments; one is empty
+    texts = [(rng.integers(0, 6, n) + 6 * (np.arange(n) // 50 % 2)).astype(dtype) for n in (5_000, 40, 40, 1, 0, 700)]
+    coded = spark.createDataFrame([(i, i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "row long, id long, codes binary")
+    parts = hmm.segments(coded, dtype, 1_000)
+    assert sorted(parts) == sorted(t[i : i + hmm.SEGMENT].tobytes() for t in texts for i in range(0, len(t), hmm.SEGMENT))
+    assert len(hmm.segments(coded, dtype, 7)) == 7 and max(map(len, parts)) == hmm.SEGMENT * dtype.itemsize
+    m, logs = hmm.train(coded, shares, dtype, 2, 5, 3, 0.0)
+    assert len(logs) >= 2 and all(b >= a - 1e-3 * abs(a) for a, b in zip(logs, logs[1:], strict=False))
+    assert logs[-1] > sum(len(t) for t in texts) * np.log10(1 / 12)  # a uniform model's
+    assert len(hmm.train(coded, shares, dtype, 2, 5, 3, 1.0)[1]) == 2
+    assert hmm.train(coded.limit(0), shares, dtype, 2, 5, 3)[1] == [0.0, 0.0]
+
+
 def test_hmm_base_and_likelihood(spark):
     rows = texts()
     held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
