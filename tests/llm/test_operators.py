@@ -358,6 +358,19 @@ def test_suffix(spark, monkeypatch, batches):
     assert got == want
 
 
+def test_kinds_of_a_frequent_fingerprint_stay_spread(spark):
+    rows = [(7, g, 1 + (g % 100 == 0)) for g in range(8000)] + [(100 + g // 2, g, 1 + g % 3) for g in range(400)]
+    same = spark.createDataFrame(rows, "f long, g long, c long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = suffix.open_kinds(same)[0].select("f", "g", "c", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    once = {f for f, _, c in rows if c == 1}
+    assert collections.Counter((r.f, r.g, r.c) for r in got) == collections.Counter(r for r in rows if r[0] in once)
+    assert max(collections.Counter(r.p for r in got if r.f == 7).values()) < 4000
+
+
 def test_topk(spark):
     rng = random.Random(12)
     codes = {i: rng.getrandbits(63) for i in range(150)} | {200 + i: 12345 for i in range(20)}
