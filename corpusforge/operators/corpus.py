@@ -65,6 +65,21 @@ def runs(df: DataFrame, order: str, value: str, name: str, buckets: int = 64) ->
     return prefix_sum(df.withColumn("_new", new).drop("_bucket", "_range"), (), order, F.col("_new"), "_at", buckets).withColumn(name, (F.col("_at") + F.col("_new")).cast("bigint")).drop("_at", "_new", "_first", "_prev", "_carry")
 
 
+def carried(df: DataFrame, order: str, value: str, name: str, buckets: int = 64) -> DataFrame:
+    """Append ``name``: the last ``value`` that isn't null, up to this row and the others of its place, in the order of a numeric column.
+    Ranges know the last value before them, so no task orders the whole table."""
+    df = bucketed(df, (), order, buckets)
+    there = df.where(F.col(value).isNotNull())
+    ends = there.groupBy(F.col("_bucket").alias("_range")).agg(F.max_by(value, order).alias("_last"))
+    own = Window.partitionBy("_bucket").orderBy(order)
+    carry = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_range")).join(ends, "_range", "left")
+    before = F.last("_last", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    carry = carry.withColumn("_carry", before).drop("_last")  # a row a range
+    df = df.join(F.broadcast(carry), F.col("_bucket") == F.col("_range"))
+    last = F.last(value, ignorenulls=True).over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn(name, F.coalesce(last, F.col("_carry"))).drop("_bucket", "_range", "_carry")
+
+
 def budget(df: DataFrame, part: str, cost: Column, order: str, limit: Column) -> DataFrame:
     """Rows of each part until their cost reaches ``limit``, the row that crosses it included."""
     return prefix_sum(df, [part], order, cost, "_b").where(F.col("_b") < limit).drop("_b")

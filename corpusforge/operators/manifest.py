@@ -103,16 +103,18 @@ def cursors(manifest: DataFrame, order: str, positions: DataFrame, length: int)
     """positions (windows: how many were served) with epoch, shard and offset to resume at.
 
     Shards are read in the order of a unique numeric column, each in windows of ``length`` tokens whose last label is in the shard too;
-    the tail of a shard is skipped and epochs repeat. Windows before a shard are sums over ranges; the ranges of the (small) manifest
-    are broadcast if its size allows. A manifest without a whole window gives no rows.
+    the tail of a shard is skipped and epochs repeat. Windows before a shard are sums over ranges; each distinct place in an epoch takes
+    the last shard that begins up to it, again by ranges, and positions are joined to places. No position meets more than one shard. A
+    manifest without a whole window gives no rows.
     """
     served = F.greatest(F.floor((F.col("n_tokens") - 1) / length), F.lit(0))
     own = manifest.select(order, served.alias("_n")).where("_n > 0")
-    placed = C.prefix_sum(own, (), order, F.col("_n"), "_from").select(F.col(order).alias("shard"), "_from", (F.col("_from") + F.col("_n")).alias("_to"))
     total = own.agg(F.sum("_n").alias("_all")).where("_all > 0")
-    at = positions.join(F.broadcast(total)).withColumn("epoch", F.floor(F.col("windows") / F.col("_all"))).withColumn("_at", F.col("windows") % F.col("_all"))
-    met = at.join(placed, (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
-    return met.select(*positions.columns, "epoch", "shard", ((F.col("_at") - F.col("_from")) * length).cast("long").alias("offset"))
+    at = positions.join(F.broadcast(total)).withColumn("epoch", F.floor(F.col("windows") / F.col("_all"))).withColumn("_at", (F.col("windows") % F.col("_all")).cast("long"))
+    starts = C.prefix_sum(own, (), order, F.col("_n"), "_from").select(F.col("_from").cast("long").alias("_at"), F.struct(F.col(order).alias("shard"), F.col("_from").cast("long").alias("_from")).alias("_shard"))
+    places = at.select("_at").where("_at >= 0").distinct().withColumn("_place", F.lit(True))
+    found = C.carried(places.unionByName(starts, allowMissingColumns=True), "_at", "_shard", "_in").where("_place").select("_at", "_in.*")
+    return at.join(found, "_at").select(*positions.columns, "epoch", "shard", ((F.col("_at") - F.col("_from")) * length).cast("long").alias("offset"))
 
 
 def batch_plan(rows: DataFrame, seq_len: int) -> DataFrame:

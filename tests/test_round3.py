@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusforge import plans
+from corpusforge.operators import manifest
 from test_queries import normal
 
 
@@ -34,3 +39,32 @@ def agree(spark, tmp_path):
 @pytest.mark.parametrize("texts", [["", "a!", None, "b"], ["", ""], ["a!", "b"]])
 def test_formal_leakage_of_empty_texts(agree, texts):
     agree("formal_leakage", documents={"doc_id": list(range(len(texts))), "text": texts})
+
+
+def test_resume_cursor_meets_positions_and_shards_by_ranges(spark, agree):
+    """Positions at the ends of shards, of epochs and far beyond, many of them alike; no join of all positions with all shards."""
+    n = 300
+    pages = {"page_id": [i * 3 for i in range(n)], "html": ["x" * (512 * (i % 5) + i % 2) for i in range(n)]}
+    chars = [*range(700), *[5] * 200, 10**6, 0, None]
+    rows = agree("resume_cursor", pages=pages, documents={"doc_id": list(range(len(chars))), "n_chars": chars})
+    assert len(rows) == len(chars) - 1
+
+
+def test_cursors_have_no_nested_loop_of_positions_and_shards(spark):
+    m = spark.range(50).select(F.col("id").alias("i"), F.lit(9).alias("n_tokens"))
+    at = spark.range(500).select(F.col("id").alias("windows"))
+    plan = manifest.cursors(m, "i", at, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_from" in plan and not re.search(r"_at#\d+L? >= _from#", plan)
+    assert manifest.cursors(m, "i", at, 4).count() == 500
+
+
+def test_streams_leave_no_table_in_the_driver(spark):
+    for name in ("stream_session", "stream_dedup_watermark"):
+        plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+        assert "parquet" in plan and "MemoryPlan" not in plan and "LocalRelation" not in plan
+
+
+def test_a_stream_without_events_gives_no_rows(spark, tmp_path):
+    pq.write_table(pq.read_table("/root/testdata/sf0.001/events.parquet").slice(0, 0), tmp_path / "events.parquet")
+    for name in ("stream_session", "stream_dedup_watermark"):
+        assert plans.QUERIES[name](spark, str(tmp_path)).collect() == []
