@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.plans.registry import query, table
+from corpusforge.scratch import keep, remove, shared_dir
 from corpusforge.streaming import events as E
 
 
 def run_stream(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Read the events as a stream, run all that is there, and return the sink's table."""
+    """Read the events as a stream, run all that is there, and return the sink's table. Executors write it, a folder a batch; nothing comes
+    to the driver. A complete batch has the whole table, so the one before it goes."""
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"stream_{uuid.uuid4().hex}"
-    build(E.with_event_time(source)).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    out, state = shared_dir(spark), shared_dir(spark)
+    keep(spark, out)
+    got = build(E.with_event_time(source))
+    done: list[int] = []
+
+    def write(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
+        if mode == "complete":
+            for old in set(done) - {i}:
+                remove(spark, f"{out}/batch={old}")
+            done.clear()
+        done.append(i)
+
+    try:
+        got.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        remove(spark, state)
+    return spark.read.schema(got.schema).parquet(*[f"{out}/batch={i}" for i in sorted(set(done))]) if done else spark.createDataFrame([], got.schema)
 
 
 def _naive(c: str) -> Column:
