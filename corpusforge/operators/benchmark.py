@@ -36,16 +36,18 @@ def attested(lexicon: DataFrame) -> DataFrame:
     return lexicon.agg(F.coalesce(F.max(F.coalesce("corpus_rate", F.lit(0.0)) > 0), F.lit(False)).alias("attested"))
 
 
-def quality(entries: DataFrame, english: DataFrame) -> DataFrame:
+def quality(entries: DataFrame, english: DataFrame, number: Column | None = None) -> DataFrame:
     """Entries fit for human raters. Offensive ones, numbers and, unless curated, common English words (word) go. Of current ones those
     stay that the recent corpus attests; before any is attested, curated ones that aren't initialisms. Others need curation or a median
-    score of LEAST_MEDIAN. ``entries`` has term, definition, example, source, status, corpus_rate and median_score."""
+    score of LEAST_MEDIAN. ``entries`` has term, definition, example, source, status, corpus_rate and median_score. ``number``: which
+    entries are numbers, by default terms that have digits only."""
     common = english.select(F.lower("word").alias("_word")).distinct().withColumn("_common", F.lit(True))
     met = entries.withColumn("_word", F.lower("term")).join(common, "_word", "left").join(F.broadcast(attested(entries).withColumnRenamed("attested", "_attested")))
     curated = F.col("source").eqNullSafe("curated")
     current = F.when(F.col("_attested"), F.coalesce("corpus_rate", F.lit(0.0)) > 0).otherwise(curated & ~L.initialism(F.col("term"), F.col("definition")))
     good = F.when(F.col("status").eqNullSafe("current"), current).otherwise(curated | (F.coalesce("median_score", F.lit(0.0)) >= LEAST_MEDIAN))
-    out = met.where(safe(F.col("term"), F.col("definition"), F.col("example")) & (F.col("_common").isNull() | curated) & ~F.col("term").rlike(r"^\d+$") & good)
+    number = F.col("term").rlike(r"^\d+$") if number is None else number
+    out = met.where(safe(F.col("term"), F.col("definition"), F.col("example")) & (F.col("_common").isNull() | curated) & ~number & good)
     return out.select(*entries.columns)
 
 
