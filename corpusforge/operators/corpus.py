@@ -80,6 +80,19 @@ def carried(df: DataFrame, order: str, value: str, name: str, buckets: int = 64)
     return df.withColumn(name, F.coalesce(last, F.col("_carry"))).drop("_bucket", "_range", "_carry")
 
 
+def count_between(ranges: DataFrame, points: DataFrame, key: str, low: str, high: str, at: str, name: str, buckets: int = 64) -> DataFrame:
+    """ranges with ``name``: how many points of the same key lie between low and high, both included. No pair is made: points up to high
+    less points below low, as sums over the distinct values of a key."""
+    own = points.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(at).alias("_v")).agg(F.count("*").alias("_n"))
+    ends = ranges.select(F.col(key).alias("_k"), F.explode(F.array(low, high)).alias("_v")).where("_k IS NOT NULL AND _v IS NOT NULL").distinct()
+    values = own.unionByName(ends.withColumn("_n", F.lit(0).cast("long"))).groupBy("_k", "_v").agg(F.sum("_n").alias("_n"))
+    sums = prefix_sum(values, ["_k"], "_v", F.col("_n"), "_below", buckets).withColumn("_upto", F.col("_below") + F.col("_n"))
+    lows = sums.select(F.col("_k").alias(key), F.col("_v").alias(low), "_below")
+    highs = sums.select(F.col("_k").alias(key), F.col("_v").alias(high), "_upto")
+    met = ranges.join(lows, [key, low]).join(highs, [key, high])
+    return met.select(*ranges.columns, F.greatest(F.col("_upto") - F.col("_below"), F.lit(0)).alias(name))
+
+
 def budget(df: DataFrame, part: str, cost: Column, order: str, limit: Column) -> DataFrame:
     """Rows of each part until their cost reaches ``limit``, the row that crosses it included."""
     return prefix_sum(df, [part], order, cost, "_b").where(F.col("_b") < limit).drop("_b")

@@ -100,3 +100,12 @@ def test_audit_has_the_words_of_its_sql(spark, agree):
             got = duckdb.execute(f"SELECT regexp_matches(?::VARCHAR, '{p}')", [row.t]).fetchall()[0][0]
             assert got == row[k], (row.t, k)
     agree("pii_audit_by_detector", documents={"doc_id": list(range(len(texts))), "text": texts})
+
+
+def test_join_range_counts_without_pairs(spark, agree):
+    keys, n = list(range(200)), 200
+    part = {"p_partkey": [i // 2 for i in keys], "p_size": pa.array([None if i == 7 else i % 60 for i in keys], pa.int32()), "p_retailprice": [None if i == 8 else float("nan") if i == 9 else (-0.0 if i % 5 else 10.25 * i) for i in keys]}
+    supplier = {"s_suppkey": list(range(n)), "s_nationkey": pa.array([None if i == 3 else i % 25 for i in range(n)], pa.int32()), "s_acctbal": [None if i == 4 else float("nan") if i in (9, 34) else [0.0, -0.0, 4000.0, 4000.01, 512.5, 4512.5][i % 6] for i in range(n)]}
+    assert agree("join_range", part=pa.table(part), supplier=pa.table(supplier))
+    plan = plans.QUERIES["join_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"s_acctbal#\d+ [<>]= ", plan)
