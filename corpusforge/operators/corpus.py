@@ -107,16 +107,21 @@ def split_by_hash(text: Column, share: float) -> Column:
 def windows(tokens: DataFrame, doc_col: str, token_col: str, length: int, by: Sequence[str]) -> DataFrame:
     """(by, win, input_ids, labels): packed windows of ``length`` tokens with the next token as label; the tail without a label is dropped.
 
-    ``tokens`` has a row a document with an array of ids. Offsets are summed over documents, not tokens, and documents are cut before
-    the group-by, so each window gathers ``length`` + 1 tokens.
+    ``tokens`` has a row a document with an array of ids. Offsets are summed over documents, not tokens, and a document is cut at the
+    ends of windows before the group-by: its pieces are shuffled as arrays, and each window gathers ``length`` + 1 tokens.
     """
     own = tokens.withColumn("_n", F.size(token_col))
-    own = prefix_sum(own, by, doc_col, F.col("_n"), "_at")
-    each = own.select(*by, "_at", F.posexplode(token_col).alias("_i", "_t")).withColumn("_p", F.col("_at") + F.col("_i"))
-    first = F.floor(F.col("_p") / length)
-    # a token that begins a window is the last label of the one before
-    both = F.when((F.col("_p") % length == 0) & (F.col("_p") > 0), F.array(first - 1, first)).otherwise(F.array(first))
-    rows = each.select(*by, "_p", "_t", F.explode(both).alias("win"))
-    got = rows.groupBy(*by, "win").agg(F.sort_array(F.collect_list(F.struct("_p", "_t"))).alias("_s")).where(F.size("_s") == length + 1)
-    ids = F.transform("_s", lambda x: x["_t"])
-    return got.select(*by, "win", F.slice(ids, 1, length).alias("input_ids"), F.slice(ids, 2, length).alias("labels"))
+    own = prefix_sum(own, by, doc_col, F.col("_n"), "_at").where("_n > 0")
+    at, n = F.col("_at"), F.col("_n")
+
+    def piece(w: Column) -> Column:
+        # a token that begins a window is the last label of the one before
+        skip = F.greatest(w * length - at, F.lit(0))
+        size = F.least(n.cast("long"), (w + 1) * length + 1 - at) - skip
+        return F.struct(w.alias("win"), (at + skip).alias("_p"), F.slice(token_col, (skip + 1).cast("int"), size.cast("int")).alias("_t"))
+
+    touched = F.sequence(F.greatest(F.floor((at - 1) / length), F.lit(0)), F.floor((at + n - 1) / length))
+    rows = own.select(*by, F.inline(F.transform(touched, piece)))
+    got = rows.groupBy(*by, "win").agg(F.sort_array(F.collect_list(F.struct("_p", "_t"))).alias("_s"))
+    ids = got.select(*by, "win", F.flatten(F.transform("_s", lambda x: x["_t"])).alias("_ids")).where(F.size("_ids") == length + 1)
+    return ids.select(*by, "win", F.slice("_ids", 1, length).alias("input_ids"), F.slice("_ids", 2, length).alias("labels"))

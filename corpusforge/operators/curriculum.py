@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusforge.functions import text as T
 from corpusforge.operators import corpus as C
 
 # fixed values: share of the corpus, and mixture of pools, of each stage in turn; stage that takes what a pool has left
@@ -50,12 +51,16 @@ def assign_stages(docs: DataFrame, plan: DataFrame, pool: str, order: str) -> Da
 
 def document_ids(windows: DataFrame, eos: int, by: Sequence[str]) -> DataFrame:
     """Packed windows (by, win, input_ids) with doc_ids: how many ends of documents stand before each token in its window, so that
-    attention can be kept inside a document; the count starts anew in each window."""
-    each = windows.select(*by, "win", F.posexplode("input_ids").alias("_i", "_t"))
-    before = Window.partitionBy(*by, "win").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("_d", F.coalesce(F.sum((F.col("_t") == eos).cast("int")).over(before), F.lit(0)))
-    got = each.groupBy(*by, "win").agg(F.sort_array(F.collect_list(F.struct("_i", "_t", "_d"))).alias("_s"))
-    return got.select(*by, "win", F.transform("_s", lambda x: x["_t"]).alias("input_ids"), F.transform("_s", lambda x: x["_d"].cast("int")).alias("doc_ids"))
+    attention can be kept inside a document; the count starts anew in each window, which is counted in its row."""
+
+    def counted(ends: Column) -> Column:
+        size = F.size("input_ids")
+        cuts = F.concat(F.array(F.lit(-1)), ends, F.array(size - 1))
+        runs = F.transform(F.sequence(F.lit(0), F.size(ends)), lambda k: F.array_repeat(k, F.get(cuts, k + 1) - F.get(cuts, k)))
+        return F.when(size > 0, F.flatten(runs)).otherwise(F.array().cast("array<int>"))
+
+    ends = F.filter(F.transform("input_ids", lambda t, i: F.when(t == eos, i)), lambda i: i.isNotNull())
+    return windows.select(*by, "win", "input_ids", T.let(ends, counted).alias("doc_ids"))
 
 
 def as_uint16(ids: DataFrame, column: str) -> DataFrame:

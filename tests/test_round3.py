@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusforge import plans
 from corpusforge.functions import text
-from corpusforge.operators import benchmark, manifest
+from corpusforge.operators import benchmark, corpus, curriculum, manifest
 from corpusforge.plans import text_queries
 from test_queries import normal
 
@@ -109,3 +109,16 @@ def test_join_range_counts_without_pairs(spark, agree):
     assert agree("join_range", part=pa.table(part), supplier=pa.table(supplier))
     plan = plans.QUERIES["join_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"s_acctbal#\d+ [<>]= ", plan)
+
+
+def test_windows_and_document_numbers_follow_the_stream(spark):
+    length, docs = 4, [[0], [], [5, 0], list(range(1, 12)) + [0], [0], [0], [7, 7, 7, 0], [1, 0]]
+    t = spark.createDataFrame([("x", i, d) for i, d in enumerate(docs)], "p string, d int, ids array<int>")
+    stream = [x for d in docs for x in d]
+    want = {w: (stream[w * length : (w + 1) * length], stream[w * length + 1 : (w + 1) * length + 1]) for w in range((len(stream) - 1) // length)}
+    win = corpus.windows(t, "d", "ids", length, ["p"])
+    assert {r.win: (list(r.input_ids), list(r.labels)) for r in win.collect()} == want
+    number = {r.win: list(r.doc_ids) for r in curriculum.document_ids(win, 0, ["p"]).collect()}
+    assert number == {w: [ids[:i].count(0) for i in range(length)] for w, (ids, _) in want.items()}
+    plan = curriculum.document_ids(win, 0, ["p"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
