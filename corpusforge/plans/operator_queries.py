@@ -107,7 +107,7 @@ _D_EMOJI = f"regexp_extract_all(text, '{R.EMOJI}')"
 @query(f"SELECT emoji, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest({_D_EMOJI}) AS emoji FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) GROUP BY emoji ORDER BY n DESC, emoji LIMIT 1000")
 def emoji_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("text").unionByName(table(spark, sf_dir, "conversations").select("text"))
-    e = texts.select(F.explode(F.regexp_extract_all("text", F.lit(R.EMOJI), F.lit(0))).alias("emoji"))
+    e = texts.select(F.explode(F.regexp_extract_all("text", F.lit(R.EMOJI_JAVA), F.lit(0))).alias("emoji"))
     return e.groupBy("emoji").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "emoji").limit(1000)
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusforge import plans
-from corpusforge.functions import text
+from corpusforge.functions import resources, text
 from corpusforge.operators import benchmark, corpus, curriculum, manifest
 from corpusforge.plans import text_queries
 from test_queries import normal
@@ -122,3 +122,28 @@ def test_windows_and_document_numbers_follow_the_stream(spark):
     assert number == {w: [ids[:i].count(0) for i in range(length)] for w, (ids, _) in want.items()}
     plan = curriculum.document_ids(win, 0, ["p"])._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan
+
+
+def test_cheap_looks_change_nothing(spark):
+    rows = ["", " ", "a", " a", "a\n", "a ", " a b　", "a  b", "a\tb", "a\t\tb", "a\n\n\nb", "&gt; q\n> q\nk", "gt; q\nk", "&amp;lt;b&amp;gt;x", "[a](b)", "x/y", "see www.a", "a.com/b", "u/abc @abc a@b.co", "at ١٢٣٤٥٦٧٨٩ +1 (555) 123-4567", None]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    t = F.col("t")
+    plain = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    scrubbed = t
+    for p, m in ((text.EMAIL, "<|email|>"), (text.IPV4, "<|redacted|>"), (text.PHONE, "<|phone|>"), (text.LONG_DIGITS, "<|number|>"), (text.USER_REF, "@user"), (text.MENTION, "@user")):
+        scrubbed = F.regexp_replace(scrubbed, p, m)
+    marked = text.unescape_common(text.unescape_common(text.fold_punctuation(t)))
+    for p, m in ((text.MD_QUOTE, ""), (text.MD_LINK, "$1"), (text.HTML_TAG, " "), (text.URL, "http")):
+        marked = F.regexp_replace(marked, p, m)
+    tidied = plain(F.regexp_replace(F.regexp_replace(t, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n"))
+    for r in df.select(t, plain(t), text.strip(t), scrubbed, text.scrub(t), marked, text.strip_markup(t), tidied, text.tidy(t)).collect():
+        assert r[1] == r[2] and r[3] == r[4] and r[5] == r[6] and r[7] == r[8], r
+    plan = df.select(text.strip_markup(t))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan or "contains" in plan
+
+
+def test_emoji_of_all_code_points(spark):
+    every = "".join(chr(i) for i in range(1, 0x20000) if not 0xD800 <= i <= 0xDFFF)
+    df = spark.createDataFrame([(every[i : i + 4096],) for i in range(0, len(every), 4096)], "t string")
+    for r in df.select(*[F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in (resources.EMOJI, resources.EMOJI_JAVA)]).collect():
+        assert r[0] == r[1]
