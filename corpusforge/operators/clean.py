@@ -39,12 +39,12 @@ def clean(df: DataFrame, cfg: CleanConfig | None = None, text_col: str = "text",
     early = F.when(T.strip(raw).isin(*R.DELETED), "deleted_or_empty").when(bot, "bot").when(raw.rlike(T.PROMO), "promo")
     df = df.withColumn("_early", early)
     df = df.withColumn("clean_text", F.when(F.col("_early").isNull(), T.tidy(T.cap_repeats(T.scrub(T.strip_markup(raw, exact_entities))))).otherwise(F.lit("")))
-    df = df.withColumn("_words", T.words(F.col("clean_text"))).withColumn("n_words", F.size("_words"))
-    c, ws, n = F.col("clean_text"), F.col("_words"), F.col("n_words")
-    unique = F.size(F.array_distinct(T.lowered(ws))) / n
-    symbols = F.length(F.regexp_replace(c, r"(?U)[\p{L}\p{N}\s]", "")) / F.greatest(F.length(c), F.lit(1))
-    links = F.size(F.filter(ws, lambda w: F.lower(w) == "http")) / n
-    df = df.withColumn("lang_route", F.when(F.col("_early").isNull(), T.language(ws, c)))
+    df = df.withColumn("_words", T.words(F.col("clean_text"))).withColumn("n_words", F.size("_words")).withColumn("_low", F.array_distinct(T.lowered(F.col("_words"))))
+    c, ws, n, low = F.col("clean_text"), F.col("_words"), F.col("n_words"), F.col("_low")
+    unique = F.size(low) / n
+    symbols = F.length(F.regexp_replace(c, r"(?U)[\p{L}\p{N}\s]+", "")) / F.greatest(F.length(c), F.lit(1))
+    links = F.when(F.array_contains(low, "http"), F.size(F.filter(ws, lambda w: F.lower(w) == "http")) / n).otherwise(0.0)
+    df = df.withColumn("lang_route", F.when(F.col("_early").isNull(), T.language(ws, c, low)))
     reason = (
         F.when(F.col("_early").isNotNull(), F.col("_early"))
         .when(c == "", "empty_after_clean")
@@ -59,7 +59,7 @@ def clean(df: DataFrame, cfg: CleanConfig | None = None, text_col: str = "text",
     if cfg.strict:
         reason = reason.when(~c.rlike("[.!?]"), "no_terminal_punctuation")
     df = df.withColumn("reason", F.coalesce(reason, F.lit("ok")))
-    return df.withColumn("ok", F.col("reason") == "ok").withColumn("pool", F.when(F.col("lang_route") == "hinglish", "hinglish").otherwise(F.lit(pool))).drop("_early", "_words")
+    return df.withColumn("ok", F.col("reason") == "ok").withColumn("pool", F.when(F.col("lang_route") == "hinglish", "hinglish").otherwise(F.lit(pool))).drop("_early", "_words", "_low")
 
 
 def reason_histogram(cleaned: DataFrame) -> DataFrame:
